@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler)
+    ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler, VectorSizeHint)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,16 +92,16 @@ def fit_feature_space(train: DataFrame, left_dict: CategoryDictionary = LEFT, ri
         ("mechanism", "mechanism", rules.mechanisms),
         ("risk_level", "risk", sorted(V.RISK_LEVELS)),
     ]
-    stages, inputs = [], []
+    stages, inputs, indexed = [], [], []
     names: list[str] = []
     groups: list[int] = []
     group_names: list[str] = []
     for column, prefix, labels in categorical:
         indexer = StringIndexerModel.from_labels(labels, column, f"{column}_index", handleInvalid="keep")
-        encoder = OneHotEncoder(inputCols=[f"{column}_index"], outputCols=[f"{column}_hot"], dropLast=False,
-                                handleInvalid="keep")
+        encoder = OneHotEncoder(inputCols=[f"{column}_index"], outputCols=[f"{column}_hot"], dropLast=False)
         stages += [indexer, encoder]
         inputs.append(f"{column}_hot")
+        indexed.append(f"{column}_index")
         group_names.append(f"{prefix}_category" if prefix in ("drug", "food") else f"{prefix}_any")
         slots = [*labels, "unseen"]
         names += [f"{prefix}_{v}" for v in slots]
@@ -115,12 +115,15 @@ def fit_feature_space(train: DataFrame, left_dict: CategoryDictionary = LEFT, ri
     for side, prefix in (("left_name", "drug_text"), ("right_name", "food_text")):
         text = fit_text_features(train, side, prefix, text_terms, text_components)
         fitted_text.append(text)
-        stages += text.stages
+        stages += [*text.stages, VectorSizeHint(inputCol=text.output, size=text_components)]
         inputs.append(text.output)
         group_names.append(f"{prefix}_all")
         names += [f"{prefix}_{i}" for i in range(text_components)]
         groups += [len(group_names) - 1] * text_components
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
+    # Categories as single indexed features, for learners that split on categories directly.
+    stages.append(VectorAssembler(inputCols=[*indexed, *inputs[len(indexed):]], outputCol="features_indexed",
+                                  handleInvalid="keep"))
     # Encoders and the text stages still need one (cheap) fit: they read column metadata only.
     model = Pipeline(stages=stages).fit(pair_features(train).limit(1))
     return FeatureSpace(model, names, groups, group_names, fitted_text)

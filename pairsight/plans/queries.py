@@ -628,7 +628,7 @@ def dependence_points(spark, sf):
 # --- Models ----------------------------------------------------------------------------------
 
 # Small ensembles: the queries show the operators; real training keeps the default sizes.
-SETTINGS = models.LearnerSettings(trees=10, boosting_rounds=3, max_depth=5, perceptron_iterations=10)
+SETTINGS = models.LearnerSettings(trees=10, boosting_rounds=3, max_depth=5, perceptron_iterations=3)
 _trained: dict[tuple, object] = {}
 
 
