@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII-only without (?U), and even then leaves out the four separators x1c-x1f.
-SPACE = r"\s\x1c-\x1f"
+# All Unicode whitespace plus the four separators x1c-x1f. Java's \s is ASCII-only,
+# and an explicit class is matched faster than its Unicode mode.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing Unicode whitespace (``trim`` alone removes only spaces)."""
-    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def clean_text(text: Column) -> Column:
@@ -19,8 +20,8 @@ def clean_text(text: Column) -> Column:
 
     A space left at the end by the removal stays: nothing is stripped afterwards.
     """
-    letters = F.regexp_replace(strip(F.lower(text)), rf"(?U)[^a-zA-Z{SPACE}]", "")
-    return F.regexp_replace(letters, rf"(?U)[{SPACE}]+", " ")
+    letters = F.regexp_replace(strip(F.lower(text)), rf"[^a-z{SPACE}]+", "")
+    return F.regexp_replace(letters, rf"[{SPACE}]+", " ")
 
 
 def normalize_query(text: Column) -> Column:

@@ -17,9 +17,16 @@ def clean_pairs(raw: DataFrame, left: str, right: str, dedup_after_clean: bool =
     """
     pairs = raw.select(F.col(left).alias("left_name"), F.col(right).alias("right_name")).na.drop()
     pairs = pairs.dropDuplicates(["left_name", "right_name"])
-    pairs = pairs.select(*[clean_text(F.col(c)).alias(c) for c in ("left_name", "right_name")])
-    keep = [(F.char_length(c) >= min_length) & ~F.col(c).rlike(r"^\d+$") for c in ("left_name", "right_name")]
-    pairs = pairs.where(keep[0] & keep[1])
+    names = ("left_name", "right_name")
+    cleaned = F.struct(*[clean_text(F.col(c)).alias(c) for c in names])
+
+    def long_enough(row):
+        return (F.char_length(row[names[0]]) >= min_length) & (F.char_length(row[names[1]]) >= min_length)
+
+    # Filtering a one-element array keeps the optimizer from pushing the test below the cleaning,
+    # which would run every regular expression once per test. A test for all-digit names would
+    # never fire: cleaning has removed the digits.
+    pairs = pairs.select(F.inline(F.filter(F.array(cleaned), long_enough)))
     if dedup_after_clean:
         pairs = pairs.dropDuplicates(["left_name", "right_name"])
     return pairs.withColumn("label", F.lit(1))

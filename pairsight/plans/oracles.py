@@ -247,7 +247,7 @@ def correlations() -> str:
              for i, a in enumerate(names) for b in names[i + 1:]]
     return over_pairs(
         "SELECT feature1, feature2, round(correlation, 6) AS correlation FROM r WHERE correlation IS NOT NULL AND NOT isnan(correlation) "
-        "AND abs(correlation) > 0.7 ORDER BY abs(correlation) DESC, feature1, feature2 LIMIT 5",
+        "AND abs(correlation) > 0.7 ORDER BY round(abs(correlation), 9) DESC, feature1, feature2 LIMIT 5",
         f", wide AS (SELECT {flags} FROM pairs), r AS ({' UNION ALL '.join(parts)})")
 
 
@@ -473,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
         "personal_adjust": """WITH c AS (SELECT c_custkey, c_nationkey * 4 AS age, abs(c_acctbal) / 10000.0 AS p,
             c_acctbal > 5000 AS liver, c_acctbal > 0 AND c_acctbal < 7500 AS kidney, c_acctbal > 0 AS listed FROM customer)
             SELECT c_custkey, round(least(p * (1 + CASE WHEN age > 65 THEN 0.2 ELSE 0 END + CASE WHEN liver THEN 0.3 ELSE 0 END
-              + CASE WHEN kidney THEN 0.2 ELSE 0 END), 1), 6) AS adjusted_probability,
+              + CASE WHEN kidney THEN 0.2 ELSE 0 END), 1), 8) AS adjusted_probability,
             'Risk adjusted for age: ' || age || ', conditions: ' || CASE WHEN listed THEN '[' || concat_ws(', ',
               CASE WHEN liver THEN '''liver_disease''' END, CASE WHEN kidney THEN '''kidney_disease''' END) || ']' ELSE 'None' END AS personalized_warning
             FROM c""",

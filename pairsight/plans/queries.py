@@ -20,6 +20,7 @@ from pairsight.operators.ordering import dense_position
 from pairsight.operators.text_features import fit_svd, fit_tfidf, tfidf_table
 from pairsight.plans import demo_tables as D
 from pairsight.plans.shared import new_path, write_once
+from pairsight.plans.sizing import spread
 from pairsight.sources import package, requests, synthetic, tables
 from pairsight.streaming import jobs
 
@@ -108,7 +109,7 @@ def result_envelope(spark, sf):
 
 @query
 def clean_pairs(spark, sf):
-    return clean.clean_pairs(D.load(spark, sf, "documents"), "text", "source")
+    return clean.clean_pairs(_documents(spark, sf), "text", "source")
 
 
 @query
@@ -539,7 +540,7 @@ def personal_adjust(spark, sf):
             F.when(F.col("c_acctbal") < 7500, F.lit("kidney_disease"))), lambda c: c.isNotNull())).alias("conditions"),
         (F.abs("c_acctbal") / F.lit(10000.0)).alias("probability"))
     return models.personalise(people, "age", "conditions").select(
-        "c_custkey", *_as(_r6("adjusted_probability")), "personalized_warning")
+        "c_custkey", F.round("adjusted_probability", 8).alias("adjusted_probability"), "personalized_warning")
 
 
 @query
@@ -571,23 +572,27 @@ def standardize(spark, sf):
         "row_id", *_as(_r6("l_quantity_scaled", "l_extendedprice_scaled")))
 
 
+def _documents(spark, sf):
+    return spread(D.load(spark, sf, "documents").select("doc_id", "text", "source"))
+
+
 @query
 def tfidf_terms(spark, sf):
-    fitted = fit_tfidf(D.load(spark, sf, "documents"), "text", "doc", stop_words=D.STOP_WORDS)
+    fitted = fit_tfidf(_documents(spark, sf), "text", "doc", stop_words=D.STOP_WORDS)
     rows = list(zip(fitted.vocabulary, fitted.document_frequency, fitted.idf))
     return spark.createDataFrame(rows, "term string, df bigint, idf double").withColumns(_r6("idf"))
 
 
 @query
 def tfidf_weights(spark, sf):
-    docs = D.load(spark, sf, "documents")
+    docs = _documents(spark, sf)
     fitted = fit_tfidf(docs, "text", "doc", stop_words=D.STOP_WORDS)
     return tfidf_table(docs, fitted, "doc_id").withColumns(_r6("weight"))
 
 
 @query
 def svd_text(spark, sf):
-    docs = D.load(spark, sf, "documents")
+    docs = _documents(spark, sf)
     fitted = fit_tfidf(docs, "text", "doc", stop_words=D.STOP_WORDS)
     components, _ = fit_svd(fitted.transform(docs.select("text")), fitted.output)
     from pairsight.operators.text_features import SvdProjection
