@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairsight.plans.shared import write_once
 from pairsight.plans.sizing import broadcast_if_small
 
 
@@ -15,6 +16,7 @@ def combinations(left: DataFrame, right: DataFrame, cap: int | None = 100) -> Da
     there is no cross join, and with a cap only the combinations asked for are ever built.
     """
     spark = left.sparkSession
+    left, right = write_once(left, "left-list"), write_once(right, "right-list")
     n_left, n_right = left.count(), right.count()
     total = n_left * n_right if cap is None else min(cap, n_left * n_right)
     ids = spark.range(total).select(

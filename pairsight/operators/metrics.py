@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairsight.functions.scoring import min_max
 from pairsight.operators.ordering import RANGE_BUCKETS, running_totals
+from pairsight.plans.shared import write_once
 
 MIN_CALIBRATION_ROWS = 50
 CLASSES = (0, 1)
@@ -29,35 +30,53 @@ def confusion(scored: DataFrame, label: str = "label", prediction: str = "predic
         for a, b in cells])))
 
 
-def classification_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def counted_scores(scored: DataFrame, label: str, prediction: str | None, probability: str) -> DataFrame:
+    """Rows per (score, label, prediction), stored.
+
+    Every metric follows from these counts, so the scored rows, which may come from an expensive
+    model, are read exactly once. Equal scores collapse before the shuffle.
+    """
+    keys = [F.col(probability).cast("double").alias("score"), F.col(label).cast("int").alias("label")]
+    if prediction is not None:
+        keys.append(F.col(prediction).cast("int").alias("prediction"))
+    return write_once(scored.groupBy(*keys).agg(F.count("*").alias("n")), "score-counts")
+
+
+def classification_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction",
+                           weight: Column | None = None) -> DataFrame:
     """Accuracy and class-weighted precision, recall and F1; a zero denominator gives 0."""
-    l, p = F.col(label), F.col(prediction)
-    row = scored.agg(*[F.count_if((l == a) & (p == b)).alias(f"c{a}{b}") for a in CLASSES for b in CLASSES])
-    total = sum((F.col(f"c{a}{b}") for a in CLASSES for b in CLASSES), F.lit(0))
+    l, p, w = F.col(label), F.col(prediction), F.lit(1) if weight is None else weight
+    cells = [(a, b) for a in CLASSES for b in CLASSES]
+    row = scored.agg(*[
+        F.coalesce(F.sum(F.when((l == a) & (p == b), w)), F.lit(0)).alias(f"c{a}{b}") for a, b in cells])
+    total = sum((F.col(f"c{a}{b}") for a, b in cells), F.lit(0))
     precision = recall = f1 = F.lit(0.0)
     for k in CLASSES:
         o = 1 - k
         hit, support, called = F.col(f"c{k}{k}"), F.col(f"c{k}{k}") + F.col(f"c{k}{o}"), F.col(f"c{k}{k}") + F.col(f"c{o}{k}")
         pk, rk = _ratio(hit, called), _ratio(hit, support)
         fk = _ratio(2 * hit, support + called)
-        weight = _ratio(support, total)
-        precision, recall, f1 = precision + pk * weight, recall + rk * weight, f1 + fk * weight
+        share = _ratio(support, total)
+        precision, recall, f1 = precision + pk * share, recall + rk * share, f1 + fk * share
     return row.select(
         total.alias("n_rows"), _ratio(F.col("c00") + F.col("c11"), total).alias("accuracy"),
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def score_totals(scored: DataFrame, label: str = "label", probability: str = "p") -> DataFrame:
+def score_totals(counts: DataFrame) -> DataFrame:
     """Positives and negatives per distinct score: equal scores become one threshold."""
-    l = F.col(label)
-    return scored.groupBy(F.col(probability).cast("double").alias("score")).agg(
-        F.count_if(l == 1).alias("pos"), F.count_if(l != 1).alias("neg"))
+    l, n = F.col("label"), F.col("n")
+    return counts.groupBy("score").agg(
+        F.sum(F.when(l == 1, n).otherwise(F.lit(0))).alias("pos"),
+        F.sum(F.when(l == 1, F.lit(0)).otherwise(n)).alias("neg"))
 
 
-def ranking_metrics(scored: DataFrame, label: str = "label", probability: str = "p",
-                    buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """ROC AUC (ties count half) and average precision (step sum); 0 when one class is missing."""
-    running = running_totals(score_totals(scored, label, probability), "score", ["pos", "neg"], buckets)
+def ranking_metrics(counts: DataFrame, buckets: int = RANGE_BUCKETS) -> DataFrame:
+    """ROC AUC (ties count half) and average precision (step sum); 0 when one class is missing.
+
+    Works on the counts of ``counted_scores``.
+    """
+    running = running_totals(score_totals(counts), "score", ["pos", "neg"], buckets)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     positives, negatives = F.col("all_pos").cast("double"), F.col("all_neg").cast("double")
     below = F.col("all_neg") - F.col("cum_neg")
@@ -73,11 +92,12 @@ def ranking_metrics(scored: DataFrame, label: str = "label", probability: str =
 
 def evaluate(scored: DataFrame, label: str = "label", prediction: str = "prediction",
              probability: str = "p") -> DataFrame:
-    """One row with all metrics of a model."""
-    ranking = ranking_metrics(scored, label, probability)
-    both = classification_metrics(scored, label, prediction)
-    # Two one-row tables, put side by side by a key.
-    return both.withColumn("_k", F.lit(0)).join(F.broadcast(ranking.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    """One row with all metrics of a model, from one pass over its scored rows."""
+    counts = counted_scores(scored, label, prediction, probability)
+    both = classification_metrics(counts, weight=F.col("n"))
+    ranking = ranking_metrics(counts)
+    one = ranking.select(F.struct("roc_auc", "avg_precision")).scalar()
+    return both.withColumn("_ranking", one).select(*both.columns, "_ranking.*")
 
 
 def roc_points(scored: DataFrame, label: str = "label", probability: str = "p", drop_intermediate: bool = True,
@@ -87,7 +107,7 @@ def roc_points(scored: DataFrame, label: str = "label", probability: str = "p",
     ``drop_intermediate`` leaves out points on a straight line between their neighbours: those
     whose step equals the next step in both directions.
     """
-    totals = score_totals(scored, label, probability)
+    totals = score_totals(counted_scores(scored, label, None, probability))
     running = running_totals(totals, "score", ["pos", "neg"], buckets)
     if drop_intermediate:
         running = _mark_corners(running).where("_corner")
@@ -139,9 +159,10 @@ def calibration_bins(scored: DataFrame, label: str = "label", probability: str =
 def calibration_error(scored: DataFrame, label: str = "label", probability: str = "p", n_bins: int = 10) -> DataFrame:
     """Unweighted mean of |accuracy - confidence| over the bins; an error text below 50 rows."""
     bins = calibration_bins(scored, label, probability, n_bins)
-    one = bins.agg(F.avg(F.abs(F.col("accuracy") - F.col("confidence"))).alias("_ece"), F.count("*").alias("n_bins"))
-    size = scored.agg(F.count("*").alias("n_rows"))
-    joined = size.withColumn("_k", F.lit(0)).join(F.broadcast(one.withColumn("_k", F.lit(0))), "_k")
+    size = scored.agg(F.count("*")).scalar()
+    joined = bins.agg(
+        F.avg(F.abs(F.col("accuracy") - F.col("confidence"))).alias("_ece"),
+        F.count("*").alias("n_bins")).withColumn("n_rows", size)
     enough = F.col("n_rows") >= MIN_CALIBRATION_ROWS
     return joined.select(
         "n_rows", "n_bins",

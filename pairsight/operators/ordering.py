@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairsight.plans.shared import write_once
+
 HEX_DIGITS = 3          # 4,096 buckets over a hex key
 RANGE_BUCKETS = 256     # buckets over a numeric order
 
@@ -27,7 +29,8 @@ def first_k_cutoffs(df: DataFrame, group: list[str], key: str, bucket: Column, t
     within a group. Only the single bucket that holds the k-th row is ever sorted.
     """
     rows = df.select(*group, F.col(key).alias("_key"), bucket.alias("_bucket"))
-    counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    # Small (buckets x groups) and needed twice, so it is stored.
+    counts = write_once(rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n")), "bucket-counts")
     by_group = W.partitionBy(*group)
     running = by_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = (
