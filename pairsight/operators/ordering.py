@@ -81,7 +81,7 @@ def dense_position(df: DataFrame, key: str, position: str, digits: int = HEX_DIG
 
 def with_range_bucket(df: DataFrame, order: str, buckets: int = RANGE_BUCKETS) -> DataFrame:
     """Append ``_bucket`` by approximate quantiles of a numeric column (a scalar subquery)."""
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    points = F.array(*[F.lit(i / max(buckets, 2)) for i in range(1, max(buckets, 2))])
     bounds = df.agg(F.array_distinct(F.percentile_approx(order, points, F.lit(10 * buckets)))).scalar()
     bounded = df.withColumn("_bounds", bounds)
     return bounded.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
