@@ -1,12 +1,12 @@
 """What if one side had another category?
 
-The answer depends on the pair of categories only. It is worked out once per category pair that
-occurs (bounded by the two dictionaries) and looked up by each row.
+The answer depends on the pair of categories only. It is worked out once per category pair (a table
+made from the dictionaries and the rules, without reading any rows) and looked up by each row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,15 +21,30 @@ SCENARIO_LEFT = "Using a %s medication instead"
 SCENARIO_RIGHT = "Consuming a %s food instead"
 
 
-def category_scenarios(pairs: DataFrame, left_dict: CategoryDictionary = LEFT, right_dict: CategoryDictionary = RIGHT,
+# A category that neither the dictionaries nor the rules know.
+OUTSIDE = ""
+
+
+def _categories(dictionary: CategoryDictionary, in_rules: set[str]) -> list[str]:
+    return sorted({*dictionary.labels, *in_rules, OUTSIDE})
+
+
+def _key(category: str, known: list[str]):
+    return F.when(F.col(category).isin(known), F.col(category)).otherwise(F.lit(OUTSIDE))
+
+
+def category_scenarios(spark: SparkSession, left_dict: CategoryDictionary = LEFT, right_dict: CategoryDictionary = RIGHT,
                        rules: RuleTable = RULES, top: int = 5) -> DataFrame:
-    """Per occurring category pair, the first ``top`` scenarios: increases, then same, then decreases."""
+    """Per category pair, the first ``top`` scenarios: increases, then same, then decreases."""
     options = [(i, "L", c) for i, c in enumerate(left_dict.names)]
     options += [(len(options) + i, "R", c) for i, c in enumerate(right_dict.names)]
     literal = F.array(*[
         F.struct(F.lit(i).alias("ord"), F.lit(side).alias("side"), F.lit(c).alias("category"))
         for i, side, c in options])
-    base = pairs.select(*PAIR).distinct()
+    lefts = _categories(left_dict, {r[0] for r in rules.rows})
+    rights = _categories(right_dict, {r[1] for r in rules.rows})
+    base = spark.createDataFrame([(c,) for c in lefts], f"{PAIR[0]} string").withColumn(
+        PAIR[1], F.explode(F.array(*[F.lit(c) for c in rights])))
     rows = base.withColumn("_o", F.explode(literal))
     on_left = F.col("_o.side") == "L"
     alternative = F.col("_o.category")
@@ -49,18 +64,29 @@ def category_scenarios(pairs: DataFrame, left_dict: CategoryDictionary = LEFT, r
         F.col("_alt.mechanism").alias("mechanism_change"))
 
 
+def _lookup(pairs: DataFrame, table: DataFrame, left_dict: CategoryDictionary, right_dict: CategoryDictionary,
+            rules: RuleTable) -> DataFrame:
+    """Inner join of every pair with its category pair's rows; the table is bounded by the dictionaries."""
+    keyed = pairs.withColumns({
+        "_kl": _key(PAIR[0], _categories(left_dict, {r[0] for r in rules.rows})),
+        "_kr": _key(PAIR[1], _categories(right_dict, {r[1] for r in rules.rows})),
+    })
+    named = table.withColumnsRenamed({PAIR[0]: "_kl", PAIR[1]: "_kr"})
+    return keyed.join(F.broadcast(named), ["_kl", "_kr"]).drop("_kl", "_kr")
+
+
 def counterfactual_rules(pairs: DataFrame, left_dict: CategoryDictionary = LEFT,
                          right_dict: CategoryDictionary = RIGHT, rules: RuleTable = RULES, top: int = 5) -> DataFrame:
     """Each pair with its ranked scenarios, one row per scenario."""
-    table = category_scenarios(pairs, left_dict, right_dict, rules, top)
-    return pairs.join(F.broadcast(table), PAIR)
+    table = category_scenarios(pairs.sparkSession, left_dict, right_dict, rules, top)
+    return _lookup(pairs, table, left_dict, right_dict, rules)
 
 
 def counterfactual_summary(pairs: DataFrame, left_dict: CategoryDictionary = LEFT,
                            right_dict: CategoryDictionary = RIGHT, rules: RuleTable = RULES,
                            top: int = 5) -> DataFrame:
     """Each pair with three scenario lists: safer, riskier and similar."""
-    table = category_scenarios(pairs, left_dict, right_dict, rules, top)
+    table = category_scenarios(pairs.sparkSession, left_dict, right_dict, rules, top)
     item = F.struct("rank", "scenario", "counterfactual_risk", "mechanism_change", "risk_change")
     lists = table.groupBy(*PAIR).agg(F.sort_array(F.collect_list(item)).alias("_all"))  # <= `top` items
 
@@ -69,4 +95,4 @@ def counterfactual_summary(pairs: DataFrame, left_dict: CategoryDictionary = LEF
 
     summary = lists.select(*PAIR, pick("DECREASED").alias("safer_alternatives"),
                            pick("INCREASED").alias("riskier_alternatives"), pick("SAME").alias("similar_risk"))
-    return pairs.join(F.broadcast(summary), PAIR, "left")
+    return _lookup(pairs, summary, left_dict, right_dict, rules)

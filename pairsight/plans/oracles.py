@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
               '{{"success":false,"error":"no result for ' || left_name || '"}}' AS failed FROM pairs)"""),
         "clean_pairs": clean_query("documents", "text", "source", False),
         "clean_pairs_distinct": clean_query("conversations", "text", "role", True),
-        "clean_text_turns": f"SELECT conv_id, turn, {cleaned('text')} AS cleaned FROM conversations",
+        "clean_text": f"SELECT conv_id, turn, {cleaned('text')} AS cleaned FROM conversations",
         "swapped_pairs": over_pairs(
             """SELECT a.o_orderstatus AS first_name, a.l_linestatus AS second_name, a.n AS n_forward, b.n AS n_reversed
             FROM c a JOIN c b ON a.o_orderstatus = b.l_linestatus AND a.l_linestatus = b.o_orderstatus
@@ -464,7 +464,7 @@ def oracle_sql() -> dict[str, str]:
             {JACCARD.format('left_name', 'right_name')} AS name_similarity,
             CAST(left_category = right_category AS INT) AS same_category,
             CAST(left_category = 'other' AND right_category = 'other' AS INT) AS both_other FROM pairs"""),
-        "title_case_text": f"SELECT page_id, {title('url')} AS title FROM pages",
+        "title_case": f"SELECT page_id, {title('url')} AS title FROM pages",
         "confidence_band": over_pairs(f"SELECT row_id, {BAND.format('p')} AS confidence_level, {SIGNIFICANCE} AS clinical_significance FROM pairs"),
         "display_row": over_pairs(
             f"SELECT row_id, {PERCENT} AS percent, "

@@ -14,7 +14,7 @@ from pairsight.functions.text import char_jaccard, clean_text, title_case, words
 from pairsight.operators import attributions as A
 from pairsight.operators import basket, batch, categorize, clean, counterfactual, explain, features, lookups
 from pairsight.operators import metrics as M
-from pairsight.operators import models, override, sampling, search, similar
+from pairsight.operators import models, override, sampling, search, service, similar
 from pairsight.operators.dashboard import dashboard
 from pairsight.operators.ordering import dense_position
 from pairsight.operators.text_features import fit_svd, fit_tfidf, tfidf_table
@@ -30,7 +30,7 @@ RULE = ["left_category", "right_category", "mechanism", "risk_level"]
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    REGISTRY[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -119,7 +119,7 @@ def clean_pairs_distinct(spark, sf):
 
 
 @query
-def clean_text_turns(spark, sf):
+def clean_text_query(spark, sf):
     return D.load(spark, sf, "conversations").select("conv_id", "turn", clean_text(F.col("text")).alias("cleaned"))
 
 
@@ -513,7 +513,7 @@ def pair_features(spark, sf):
 
 
 @query
-def title_case_text(spark, sf):
+def title_case_query(spark, sf):
     return D.load(spark, sf, "pages").select("page_id", title_case(F.col("url")).alias("title"))
 
 
@@ -734,7 +734,7 @@ def uncertainty_bootstrap(spark, sf):
 
 
 @query
-def dashboard_record(spark, sf):
+def dashboard_query(spark, sf):
     space, train, test = _prepared(spark, sf)
     trained = _forest(spark, sf)
     correlations = A.vector_correlations(test, "features", space.names)
@@ -742,6 +742,18 @@ def dashboard_record(spark, sf):
                      _explained(spark, sf), len(space.names), correlations).select(F.to_json(F.struct("*")).alias("record"))
 
 
+@query
+def predict_requests(spark, sf):
+    """Requests over the pairs of the table (and a few names it lacks), answered as JSON."""
+    pairs = D.pair_table(spark, sf)
+    known = pairs.where(F.col("risk_level") == "HIGH").select("row_id", "left_name", "right_name", *override.DETAILS)
+    asked = pairs.groupBy("left_name", "right_name").agg(F.min("row_id").alias("request_id"))
+    right = F.when(F.col("left_name").contains("red"), F.lit("")).otherwise(F.col("right_name"))
+    bodies = asked.select("request_id", F.to_json(F.struct(F.col("left_name").alias("drug"), right.alias("food"))).alias("body"))
+    return service.answer_requests(bodies, "body", "request_id", _forest(spark, sf), known, "row_id", "Random Forest",
+                                   D.LEFT, D.RIGHT, D.RULES)
+
+
 # --- Streams ---------------------------------------------------------------------------------
 
 def _event_stream(spark, sf):

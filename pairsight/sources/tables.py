@@ -51,4 +51,7 @@ def read_curated_json(spark: SparkSession, path: str, schema: str = CURATED_SCHE
 
 
 def distinct_curated(curated: DataFrame) -> DataFrame:
-    return curated.dropDuplicates(["drug", "food"])
+    """One record per pair; of differing records the smallest is kept, so the choice is repeatable."""
+    rest = [c for c in curated.columns if c not in ("drug", "food")]
+    kept = curated.groupBy("drug", "food").agg(F.min(F.struct(*rest)).alias("_r"))
+    return kept.select("drug", "food", "_r.*")

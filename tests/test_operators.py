@@ -186,6 +186,9 @@ def test_counterfactuals_of_a_known_pair(spark):
     other = sorted((r for r in rows if r["left_category"] == "other"), key=lambda r: r["rank"])
     assert [(r["scenario"], r["risk_change"]) for r in other[:2]] == [
         ("Using a antidepressant medication instead", "INCREASED"), ("Using a diabetes medication instead", "INCREASED")]
+    odd = spark.createDataFrame([("never seen", "alcohol")], pairs.schema)
+    outside = sorted(counterfactual.counterfactual_rules(odd).collect(), key=lambda r: r["rank"])
+    assert [r["scenario"] for r in outside] == [r["scenario"] for r in other] and outside[0]["left_category"] == "never seen"
     summary = {r["left_category"]: r for r in counterfactual.counterfactual_summary(pairs).collect()}
     assert len(summary["anticoagulant"]["safer_alternatives"]) == 5
     assert len(summary["other"]["riskier_alternatives"]) == 2
