@@ -124,7 +124,7 @@ def fit_feature_space(train: DataFrame, left_dict: CategoryDictionary = LEFT, ri
     # Categories as single indexed features, for learners that split on categories directly.
     stages.append(VectorAssembler(inputCols=[*indexed, *inputs[len(indexed):]], outputCol="features_indexed",
                                   handleInvalid="keep"))
-    # Encoders and the text stages still need one (cheap) fit: they read column metadata only.
+    # Only the encoders are still to be fitted, and they read column metadata: one row is enough.
     model = Pipeline(stages=stages).fit(pair_features(train).limit(1))
     return FeatureSpace(model, names, groups, group_names, fitted_text)
 
