@@ -758,7 +758,7 @@ def predict_requests(spark, sf):
 
 def _event_stream(spark, sf):
     path = f"{sf}/events*.parquet"  # a pattern, so that one file and a folder both work
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(D.SCHEMAS["events"]).parquet(path)
     return jobs.enrich_requests(D.requests(stream), "body", D.EVENT_LEFT, D.EVENT_RIGHT, D.EVENT_RULES)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,27 +15,34 @@ CURATED_SCHEMA = (
 REPLACEMENT = "�"
 
 
-def read_pairs_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+# Cell texts that count as missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+           "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def read_pairs_csv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False,
+                   missing: list[str] = MISSING) -> DataFrame:
     """CSV with a header, every column read as a string.
 
-    Lines with too many fields are dropped and lines with too few are padded with nulls. Text that
-    is not valid UTF-8 is read as Latin-1 instead. Two passes in that rare case, one scan for the
-    check otherwise.
+    ``columns`` are all columns of the file in order; by default the header line is asked. Lines
+    with too many fields are dropped and lines with too few are padded with nulls. Text that is not
+    valid UTF-8 is read as Latin-1 instead, at the price of a second pass in that case.
+    ``multi_line`` allows quoted line breaks; such files cannot be split.
     """
-    utf8 = _csv(spark, path, columns, "UTF-8")
-    bad = None
-    for c in columns:
-        test = F.contains(F.col(c), F.lit(REPLACEMENT))
-        bad = test if bad is None else bad | test
+    if columns is None:
+        columns = spark.read.option("header", True).csv(path).columns
+    utf8 = _csv(spark, path, columns, "UTF-8", multi_line)
+    bad = reduce(lambda a, b: a | b, [F.contains(F.col(c), F.lit(REPLACEMENT)) for c in columns])
+    rows = utf8
     if utf8.where(bad).limit(1).count():
-        return _csv(spark, path, columns, "ISO-8859-1")
-    return utf8
+        rows = _csv(spark, path, columns, "ISO-8859-1", multi_line)
+    return rows.select(*[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) for c in columns])
 
 
-def _csv(spark: SparkSession, path: str, columns: list[str], encoding: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, columns: list[str], encoding: str, multi_line: bool) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in [*columns, "_extra"])
     read = spark.read.schema(schema).option("header", True).option("encoding", encoding).option(
-        "enforceSchema", True).option("escape", '"').option("mode", "PERMISSIVE")
+        "enforceSchema", True).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line)
     return read.csv(path).where(F.col("_extra").isNull()).drop("_extra")
 
 

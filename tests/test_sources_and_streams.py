@@ -21,6 +21,10 @@ def test_csv_bad_lines_and_encodings(spark, tmp_path):
     path.write_bytes("drug,food\naspirin,milk\ntoo,many,fields\nshort\n\"a, b\",tea\n".encode())
     rows = {tuple(r) for r in tables.read_pairs_csv(spark, str(path), ["drug", "food"]).collect()}
     assert rows == {("aspirin", "milk"), ("short", None), ("a, b", "tea")}
+    wide = tmp_path / "wide.csv"
+    wide.write_bytes(b'id,drug,food\n1,NA,milk\n2,"a\nb",tea\n3,x,nan\n')
+    got = {tuple(r) for r in tables.read_pairs_csv(spark, str(wide), multi_line=True).collect()}
+    assert got == {("1", None, "milk"), ("2", "a\nb", "tea"), ("3", "x", None)}
     latin = tmp_path / "latin.csv"
     latin.write_bytes("drug,food\ncaf\xe9,th\xe9\n".encode("latin-1"))
     assert [tuple(r) for r in tables.read_pairs_csv(spark, str(latin), ["drug", "food"]).collect()] == [("café", "thé")]
