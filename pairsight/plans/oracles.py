@@ -222,7 +222,7 @@ def batch(limit: str) -> str:
           FROM ln CROSS JOIN rn LEFT JOIN rules ON lc = ln.category AND rc = rn.category)""")
 
 
-def hot(column: str, labels, prefix: str, null_to_zero: bool = False) -> str:
+def hot(column: str, labels, prefix: str) -> str:
     return ", ".join(f"CAST({column} = {lit(v)} AS INT) AS {prefix}_{v}" for v in sorted(labels))
 
 
@@ -510,5 +510,4 @@ def oracle_sql() -> dict[str, str]:
         "stream_risk_counts": f"""WITH {EVENTS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, risk_level, count(*) AS n FROM enriched
             GROUP BY ALL HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     }
-    # ROC and metrics fragments end in their own SELECT.
     return {name: text.strip() for name, text in sql.items()}
