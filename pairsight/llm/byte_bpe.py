@@ -249,17 +249,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return narrow.mapInArrow(run, f"doc_id {narrow.dtypes[0][1]}, n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Add ``decoded`` (bytes) and ``ids_text`` (decimal ids joined by commas) to rows of :func:`encode`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, _ = loaded(path, pattern)
+        tokens = read_ranks(path)
         for batch in batches:
-            ids = [np.frombuffer(b, "<u4").tolist() for b in batch.column("ids").to_pylist()]
-            columns = dict(zip(batch.schema.names, batch.columns))
-            yield pa.RecordBatch.from_pydict({
-                **columns, "decoded": pa.array([bpe.decode(x) for x in ids], pa.binary()),
-                "ids_text": pa.array([",".join(map(str, x)) for x in ids], pa.string())})
+            for part in slices(batch, "ids"):
+                ids = [np.frombuffer(b, "<u4").tolist() for b in part.column("ids").to_pylist()]
+                columns = dict(zip(part.schema.names, part.columns))
+                yield pa.RecordBatch.from_pydict({
+                    **columns, "decoded": pa.array([b"".join(map(tokens.__getitem__, x)) for x in ids], pa.binary()),
+                    "ids_text": pa.array([",".join(map(str, x)) for x in ids], pa.string())})
 
     kinds = ", ".join(f"{c} {k}" for c, k in encoded.dtypes)
     return encoded.mapInArrow(run, f"{kinds}, decoded binary, ids_text string")
