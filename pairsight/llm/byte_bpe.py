@@ -232,25 +232,40 @@ def loaded(path: str, pattern: str) -> tuple[ByteBpe, PieceCache]:
     return _loaded[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, ids (little-endian, 4 bytes each)."""
+def joined_ids(ids: np.ndarray) -> str:
+    """Decimal ids joined by commas."""
+    return ",".join(map(str, ids.tolist()))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           decode: bool = False) -> DataFrame:
+    """One row per document: id, n_tokens, ids (little-endian, 4 bytes each).
+
+    With ``decode``, the ids are decoded again in the same task, and ``decoded`` (bytes) and ``ids_text`` (decimal ids joined by
+    commas) stand in place of ``ids``.
+    """
     narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, cache = loaded(path, pattern)
+        bpe, cache = loaded(path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, counts = encode_texts(as_text(part.column("text")), cache, SpaceCut())
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                data = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(data, pa.binary())})
+                rows = np.split(ids, np.cumsum(counts)[:-1])
+                out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(counts, pa.int64())}
+                if decode:
+                    out["decoded"] = pa.array([bpe.decode(x.tolist()) for x in rows], pa.binary())
+                    out["ids_text"] = pa.array(map(joined_ids, rows), pa.string())
+                else:
+                    out["ids"] = pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.dtypes[0][1]}, n_tokens long, ids binary")
+    kinds = "decoded binary, ids_text string" if decode else "ids binary"
+    return narrow.mapInArrow(run, f"doc_id {narrow.dtypes[0][1]}, n_tokens long, {kinds}")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add ``decoded`` (bytes) and ``ids_text`` (decimal ids joined by commas) to rows of :func:`encode`."""
+    """Add ``decoded`` (bytes) to rows that hold ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = read_ranks(path)
@@ -259,8 +274,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(b, "<u4").tolist() for b in part.column("ids").to_pylist()]
                 columns = dict(zip(part.schema.names, part.columns))
                 yield pa.RecordBatch.from_pydict({
-                    **columns, "decoded": pa.array([b"".join(map(tokens.__getitem__, x)) for x in ids], pa.binary()),
-                    "ids_text": pa.array([",".join(map(str, x)) for x in ids], pa.string())})
+                    **columns, "decoded": pa.array([b"".join(map(tokens.__getitem__, x)) for x in ids], pa.binary())})
 
     kinds = ", ".join(f"{c} {k}" for c, k in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{kinds}, decoded binary, ids_text string")
+    return encoded.mapInArrow(run, f"{kinds}, decoded binary")

@@ -63,8 +63,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded, ranks)
+    decoded = byte_bpe.encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decode=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
