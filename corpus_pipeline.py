@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsight.llm import packing, quality, queries, toxicity
+from pairsight.llm import near_dup, packing, quality, queries, toxicity
 from pairsight.plans.shared import write_once
 
 
@@ -24,6 +24,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.keep_civil(docs, model)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return near_dup.keep_one(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: one row per piece, with its ids as little-endian 32-bit integers."""
     return packing.pack_documents(docs, queries.vocabulary("byte_bpe_50k.json"))
@@ -32,6 +37,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality rules", quality_rules),
     ("toxicity", remove_toxic),
+    ("near duplicates", drop_near_duplicates),
     ("packing", pack_sequences),
 ]
 
