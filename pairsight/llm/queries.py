@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsight.llm import byte_bpe, chat, near_dup, packing, quality, token_files, topk, toxicity, url_filter
+from pairsight.llm import attention_lm, byte_bpe, chat, near_dup, packing, quality, token_files, topk, toxicity, url_filter
 from pairsight.plans.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,11 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = attention_lm.LmSettings(vocabulary("word_bpe_49k.json"))
+    return attention_lm.score_table(load(spark, sf_dir, "documents"), fold("doc_id", 7) == 2, settings)
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(load(spark, sf_dir, "documents"), near_dup.NearDupSettings(percent=85))
 
@@ -106,4 +111,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_files, op2_url_filter, op3_byte_bpe, op4_top_k, op6_near_dup, op7_packing, op8_toxicity, op9_chat, op10_quality)}
+    op1_token_files, op2_url_filter, op3_byte_bpe, op4_top_k, op5_lm_scoring, op6_near_dup, op7_packing, op8_toxicity, op9_chat, op10_quality)}
