@@ -41,7 +41,7 @@ class PuSettings:
     min_positive_docs: int = 3
     rounds: int = 300
     rate: float = 0.05
-    sparsity: float = 2e-4     # weight of the L1 term, which keeps chance words at zero
+    sparsity: float = 3.0      # L1 weight of a word, in standard errors of a chance word's part of the risk's slope
     prior: float | None = None
 
 
@@ -134,12 +134,20 @@ def sample_features(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, n
 
 def fit_nnpu(positive: np.ndarray, documents: np.ndarray, features: np.ndarray, n_features: int, prior: float,
              settings: PuSettings) -> tuple[np.ndarray, float]:
-    """Weights and bias that lower the non-negative PU risk (full-batch Adam, proximal L1)."""
+    """Weights and bias that lower the non-negative PU risk (full-batch Adam).
+
+    The first rounds choose words by a proximal L1 step; as many more refit the chosen ones without it.
+    """
     weights, bias = np.zeros(n_features), np.log(prior / (1 - prior))
     moment, scale = np.zeros(n_features + 1), np.zeros(n_features + 1)
     n, n_p = len(positive), max(int(positive.sum()), 1)
     n_u = max(n - int(positive.sum()), 1)
-    for step in range(1, settings.rounds + 1):
+    often = np.bincount(features, minlength=n_features) / max(n, 1)
+    chance = settings.sparsity * prior * np.sqrt((often + 1 / n_p) / n_p)   # keeps words that say nothing at zero
+    chosen = np.ones(n_features, bool)
+    for step in range(1, 2 * settings.rounds + 1):
+        if step == settings.rounds + 1:
+            chosen, chance = weights != 0, 0.0
         logit = bias + np.bincount(documents, weights[features], minlength=n)
         toxic = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
         negative_loss = np.logaddexp(0, logit)              # l(-)
@@ -154,7 +162,7 @@ def fit_nnpu(positive: np.ndarray, documents: np.ndarray, features: np.ndarray,
         rate = settings.rate / (np.sqrt(scale / (1 - 0.99 ** step)) + 1e-6)
         move = rate * moment / (1 - 0.9 ** step)
         weights, bias = weights - move[:-1], bias - move[-1]
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate[:-1] * settings.sparsity, 0)
+        weights = np.where(chosen, np.sign(weights) * np.maximum(np.abs(weights) - rate[:-1] * chance, 0), 0.0)
     return weights, float(bias)
 
 
