@@ -18,11 +18,14 @@ def stable_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws(SEPARATOR, *[p.cast("string") for p in parts]))
 
 
-def u32(*parts: Column) -> Column:
-    """Unsigned 32-bit integer from the first eight hex digits of the key."""
-    return F.conv(F.substring(stable_key(*parts), 1, 8), 16, 10).cast("bigint")
+def u60(*parts: Column) -> Column:
+    """Unsigned 60-bit integer from the first fifteen hex digits of the key.
+
+    A remainder by n is even to within n / 2^60, and any position of a table can be drawn.
+    """
+    return F.conv(F.substring(stable_key(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(*parts: Column) -> Column:
     """Uniform double in [0, 1)."""
-    return u32(*parts) / F.lit(4294967296.0)
+    return u60(*parts) / F.lit(1152921504606846976.0)

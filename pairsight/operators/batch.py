@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,24 @@ def combinations(left: DataFrame, right: DataFrame, cap: int | None = 100) -> Da
     )
 
 
+def summary_by_category(left: DataFrame, right: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The summary over all combinations of two ``(name, category)`` lists, without building them.
+
+    The outcome depends on the two categories only, so names are counted per category, the few category pairs
+    are scored by ``score`` (which appends ``interaction_predicted``), and the counts are multiplied.
+    """
+    lefts = left.groupBy(F.col("category").alias("left_category")).agg(F.count("*").alias("_nl"))
+    rights = right.groupBy(F.col("category").alias("right_category")).agg(F.count("*").alias("_nr"))
+    # One row per category on either side: both are bounded by the dictionaries.
+    every = lefts.agg(F.collect_list(F.struct("left_category", "_nl")).alias("_l")).select(F.explode("_l").alias("_l"))
+    listed = rights.agg(F.collect_list(F.struct("right_category", "_nr")).alias("_r"))
+    grid = every.join(F.broadcast(listed)).select("_l.*", F.explode("_r").alias("_r")).select("left_category", "_nl", "_r.*")
+    n = F.col("_nl") * F.col("_nr")
+    return score(grid).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_combinations"),
+        F.coalesce(F.sum(F.when(F.col("interaction_predicted"), n)), F.lit(0)).alias("interactions_found"))
+
+
 def batch_summary(scored: DataFrame, predicted: str = "interaction_predicted") -> DataFrame:
     return scored.agg(
         F.count("*").alias("total_combinations"),

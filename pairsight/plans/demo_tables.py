@@ -110,6 +110,32 @@ def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rule(pairs, RULES)
 
 
+def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, score and prediction of each line item: one scan, no join."""
+    return load(spark, sf_dir, "lineitem").select(
+        line_key().alias("row_id"), F.col("l_partkey").alias("left_key"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        (F.col("l_discount") * 10).alias("p"), (F.col("l_discount") * 10 > 0.5).cast("int").alias("prediction"))
+
+
+def left_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the part's name and category."""
+    parts = load(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_name").alias("left_name"), category_of(F.col("p_name"), LEFT).alias("left_category"))
+    lines = load(spark, sf_dir, "lineitem")
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        line_key().alias("row_id"), "left_name", "left_category")
+
+
+def right_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the order's status, and the buyer's segment and category."""
+    customers = load(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_mktsegment").alias("right_name"), category_of(F.col("c_mktsegment"), RIGHT).alias("right_category"))
+    buyers = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(
+        customers, F.col("o_custkey") == F.col("c_custkey"))
+    return load(spark, sf_dir, "lineitem").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        line_key().alias("row_id"), "right_name", "right_category", "o_orderstatus", "l_linestatus")
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second scored table: document quality against a length score with many distinct values."""
     docs = load(spark, sf_dir, "documents").select(

@@ -125,19 +125,19 @@ def clean_text_query(spark, sf):
 
 @query
 def swapped_pairs(spark, sf):
-    pairs = D.pair_table(spark, sf).select(
+    pairs = D.right_lines(spark, sf).select(
         F.col("o_orderstatus").alias("left_name"), F.col("l_linestatus").alias("right_name"))
     return clean.swapped_pairs(pairs)
 
 
 @query
 def categorize_left(spark, sf):
-    return D.pair_table(spark, sf).select("row_id", "left_name", "left_category")
+    return D.left_lines(spark, sf).select("row_id", "left_name", "left_category")
 
 
 @query
 def categorize_right(spark, sf):
-    return D.pair_table(spark, sf).select("row_id", "right_name", "right_category")
+    return D.right_lines(spark, sf).select("row_id", "right_name", "right_category")
 
 
 @query
@@ -228,7 +228,15 @@ def batch_cross_all(spark, sf):
 
 @query
 def batch_summary(spark, sf):
-    return batch.batch_summary(_batch(spark, sf, 100))
+    """Over all combinations, from counts per category."""
+    def listed(table, column, dictionary):
+        names = search.entities(D.load(spark, sf, table), column)
+        return names.select("name", categorize.category_of(F.col("name"), dictionary).alias("category"))
+
+    def score(pairs):
+        return categorize.with_rule(pairs, D.RULES).withColumn("interaction_predicted", _rule_probability() > 0.5)
+
+    return batch.summary_by_category(listed("part", "p_name", D.LEFT), listed("customer", "c_mktsegment", D.RIGHT), score)
 
 
 def _batch(spark, sf, cap):
@@ -371,12 +379,12 @@ def risk_map(spark, sf):
 
 @query
 def class_weights(spark, sf):
-    return search.class_weights(D.pair_table(spark, sf), "label")
+    return search.class_weights(D.scored_lines(spark, sf), "label")
 
 
 @query
 def probability_bands(spark, sf):
-    return search.probability_bands(D.pair_table(spark, sf), "p")
+    return search.probability_bands(D.scored_lines(spark, sf), "p")
 
 
 @query
@@ -402,17 +410,17 @@ def feature_correlations(spark, sf):
 
 @query
 def calibration_bins(spark, sf):
-    return M.calibration_bins(D.pair_table(spark, sf)).withColumns(_r6("accuracy", "confidence"))
+    return M.calibration_bins(D.scored_lines(spark, sf)).withColumns(_r6("accuracy", "confidence"))
 
 
 @query
 def calibration_error(spark, sf):
-    return M.calibration_error(D.pair_table(spark, sf)).withColumns(_r6("expected_calibration_error"))
+    return M.calibration_error(D.scored_lines(spark, sf)).withColumns(_r6("expected_calibration_error"))
 
 
 @query
 def uncertainty_summary(spark, sf):
-    lines = D.pair_table(spark, sf).select("left_key", "p", "prediction")
+    lines = D.scored_lines(spark, sf).select("left_key", "p", "prediction")
     return M.uncertainty_summary(lines, ["left_key"]).withColumns(
         _r6("mean_probability", "std_probability", "ci_lower", "ci_upper", "prediction_stability"))
 
@@ -422,7 +430,7 @@ METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "avg_precision"]
 
 @query
 def metrics(spark, sf):
-    return M.evaluate(D.pair_table(spark, sf)).withColumns(_r6(*METRICS))
+    return M.evaluate(D.scored_lines(spark, sf)).withColumns(_r6(*METRICS))
 
 
 @query
@@ -432,7 +440,7 @@ def metrics_documents(spark, sf):
 
 @query
 def confusion(spark, sf):
-    return M.confusion(D.pair_table(spark, sf))
+    return M.confusion(D.scored_lines(spark, sf))
 
 
 @query
@@ -442,7 +450,7 @@ def roc_points(spark, sf):
 
 @query
 def roc_points_all(spark, sf):
-    return M.roc_points(D.pair_table(spark, sf), drop_intermediate=False).withColumns(_r6("threshold", "fpr", "tpr"))
+    return M.roc_points(D.scored_lines(spark, sf), drop_intermediate=False).withColumns(_r6("threshold", "fpr", "tpr"))
 
 
 @query
@@ -490,7 +498,7 @@ def labelled_union(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    return sampling.stratified_split(D.pair_table(spark, sf).select("row_id", "label"), "label", "row_id")
+    return sampling.stratified_split(D.scored_lines(spark, sf).select("row_id", "label"), "label", "row_id")
 
 
 @query
@@ -560,7 +568,7 @@ def one_hot(spark, sf):
 
 @query
 def align_features(spark, sf):
-    wide = features.one_hot(D.pair_table(spark, sf).select("row_id", "left_category"), "left_category",
+    wide = features.one_hot(D.left_lines(spark, sf).select("row_id", "left_category"), "left_category",
                             ["thermal", "age", "gone"], "drug")
     return features.align_features(wide, ["drug_age", "drug_heavy", "drug_thermal"], keep=["row_id"])
 
@@ -775,5 +783,6 @@ def stream_rule_enrich(spark, sf):
 @query
 def stream_risk_counts(spark, sf):
     out, state = new_path(spark, "stream-counts"), new_path(spark, "stream-state")
-    jobs.run_table_stream(jobs.risk_counts(_event_stream(spark, sf), "ts"), out, state).awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "risk_level", "n")
+    jobs.run_counts_stream(jobs.risk_counts(_event_stream(spark, sf), "ts"), out, state).awaitTermination()
+    return jobs.latest_counts(spark.read.parquet(out)).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "risk_level", "n")

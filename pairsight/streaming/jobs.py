@@ -18,21 +18,29 @@ def enrich_requests(requests: DataFrame, body: str, left_dict: CategoryDictionar
     return enrich(decode_requests(requests, body), "left_name", "right_name", left_dict, right_dict, rules)
 
 
+UNTIL_THE_END = {"availableNow": True}
+
+
 def run_scoring_stream(enriched: DataFrame, score: Callable[[DataFrame], DataFrame], output: str, rejects: str,
-                       checkpoint: str) -> StreamingQuery:
-    """Score valid requests into one table and write invalid ones to another, until the input ends.
+                       checkpoint: str, trigger: dict = UNTIL_THE_END) -> StreamingQuery:
+    """Score valid requests into one table and write invalid ones to another.
 
     Batch n is written to its own folder with overwrite, so a batch that runs again after a failure
-    replaces its own output.
+    replaces its own output. A batch is kept while both tables are written, so it is decoded once. ``trigger`` is
+    handed to the stream writer; by default the stream ends with its input.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(accepted(batch)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        rejected(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        batch.persist()
+        try:
+            score(accepted(batch)).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+            rejected(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         enriched.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -50,10 +58,33 @@ def risk_counts(enriched: DataFrame, event_time: str, delay: str = "1 hour", win
     )
 
 
-def run_table_stream(frame: DataFrame, output: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def run_table_stream(frame: DataFrame, output: str, checkpoint: str, mode: str = "append",
+                     trigger: dict = UNTIL_THE_END) -> StreamingQuery:
+    """Append closed windows to one Parquet table; a window that is still open when the input ends stays out."""
     return (
         frame.writeStream.format("parquet").outputMode(mode)
         .option("path", output).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
+        .start()
+    )
+
+
+def run_counts_stream(counts: DataFrame, output: str, checkpoint: str, trigger: dict = UNTIL_THE_END) -> StreamingQuery:
+    """Write the windows that changed in each batch, so that open windows, the newest too, are seen at once.
+
+    Batch n has its own folder, overwritten when it runs again. :func:`latest_counts` reads the result.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    return (
+        counts.writeStream.foreachBatch(write).outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
         .start()
     )
+
+
+def latest_counts(written: DataFrame) -> DataFrame:
+    """The last count written for each window and level."""
+    return written.groupBy("window_start", "risk_level").agg(F.max_by("n", "batch").alias("n"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 
 import pytest
@@ -100,3 +101,24 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def test_write_once_round_trip(spark):
     frame = spark.range(5).withColumn("s", F.lit("x"))
     assert sorted(write_once(frame, "t").collect()) == sorted(frame.collect())
+
+
+def test_open_windows_are_counted_and_restarts_add_nothing(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "ts timestamp, risk_level string"
+
+    def add(rows):
+        spark.createDataFrame([(datetime.datetime(2024, 1, d, h), r) for d, h, r in rows], schema).coalesce(1).write.mode(
+            "append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.run_counts_stream(jobs.risk_counts(stream, "ts"), out, state).awaitTermination()
+        found = jobs.latest_counts(spark.read.parquet(out)).collect()
+        return sorted((r.window_start.day, r.risk_level, r.n) for r in found)
+
+    add([(1, 3, "HIGH"), (1, 4, "HIGH"), (2, 5, "LOW")])
+    assert run() == [(1, "HIGH", 2), (2, "LOW", 1)]
+    assert run() == [(1, "HIGH", 2), (2, "LOW", 1)]
+    add([(2, 6, "LOW"), (3, 1, "HIGH")])
+    assert run() == [(1, "HIGH", 2), (2, "LOW", 2), (3, "HIGH", 1)]

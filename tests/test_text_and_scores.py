@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairsight import values as V
 from pairsight.functions import scoring as S
 from pairsight.functions import text as T
-from pairsight.functions.hashing import u32, uniform
+from pairsight.functions.hashing import u60, uniform
 
 
 def apply(spark, values, fn, kind="string"):
@@ -82,7 +82,7 @@ def test_scrub_and_minmax(spark):
 
 
 def test_uniform_is_a_function_of_the_key(spark):
-    values = spark.range(2000).select(uniform(F.lit(1), F.col("id")).alias("u"), u32(F.lit(1), F.col("id")).alias("k"))
+    values = spark.range(2000).select(uniform(F.lit(1), F.col("id")).alias("u"), u60(F.lit(1), F.col("id")).alias("k"))
     row = values.agg(F.min("u"), F.max("u"), F.avg("u"), F.count_distinct("k")).head()
     assert 0 <= row[0] and row[1] < 1 and abs(row[2] - 0.5) < 0.03 and row[3] == 2000
 
