@@ -13,8 +13,9 @@ as many hash functions. A tree branches a node's documents by a few of these coo
 - A large node with few documents outside its main component is compared in cells that hold those few and a part of the rest:
   every pair across components is looked at, so it ends there.
 
-Comparing means: estimate by the minima, with a margin (about five standard errors), then confirm on the full sets of the
-texts. Trees are independent; ``trees`` of them miss a pair at the threshold with a chance of about 0.11 ** trees.
+Comparing means: estimate by four bits of each coordinate, with a margin of five standard errors, then confirm on the
+full sets of the texts. Only texts with a likely link are read for that: their ids are broadcast up to a checked number, and
+beyond it the texts are shuffled. Trees are independent; ``trees`` of them miss a pair at the threshold with a chance of about 0.11 ** trees.
 Links are a spanning set within a compared group, so a group of copies never yields all its pairs.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; a
@@ -39,6 +40,7 @@ from pairsight.plans.shared import write_once
 
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 PICK = 1 << 20
+MAX_BROADCAST_IDS = 2_000_000   # 64-bit ids; about 64 MB on an executor
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,17 @@ class NearDupSettings:
 
     percent: int = 80
     words: int = 5
-    minima: int = 128
+    minima: int = 64
     trees: int = 8
     first_trees: int = 2       # trees of the first level; the others start once its links are known
     node_size: int = 1024
-    margin: float = 0.15       # estimates this far below the threshold are still confirmed
+    margin: float = 5.0        # standard errors below the threshold up to which an estimate is still confirmed
+
+    @property
+    def least_equal(self) -> int:
+        """Equal four-bit values from which on two documents are confirmed."""
+        p = self.percent / 100 + (1 - self.percent / 100) / 16
+        return int(self.minima * p - self.margin * (self.minima * p * (1 - p)) ** 0.5)
 
     @property
     def share(self) -> float:
@@ -97,8 +105,14 @@ def minima_of(values: np.ndarray, counts: np.ndarray, number: int) -> np.ndarray
     return out
 
 
+def low_bits(minima: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, two to a byte."""
+    bits = ((minima >> np.uint32(7)) & np.uint32(15)).astype(np.uint8)
+    return bits[:, ::2] | bits[:, 1::2] << 4
+
+
 def sketch(docs: DataFrame, settings: NearDupSettings) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, minima): a 128-bit key of the set, and its minima as bytes."""
+    """(doc_id, n_shingles, k1, k2, minima, bits): a 128-bit key of the set, its minima and their low bits, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -114,9 +128,10 @@ def sketch(docs: DataFrame, settings: NearDupSettings) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n_shingles": pa.array(counts, pa.int64()),
                     "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1]),
-                    "minima": binary_rows(minima.ravel(), np.full(len(counts), settings.minima))})
+                    "minima": binary_rows(minima.ravel(), np.full(len(counts), settings.minima)),
+                    "bits": binary_rows(low_bits(minima).ravel(), np.full(len(counts), settings.minima // 2))})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, minima binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, minima binary, bits binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -136,12 +151,12 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table
         yield waiting, np.array([0, len(waiting)])
 
 
-def alike(minima: np.ndarray, groups: np.ndarray, least: int) -> Iterator[np.ndarray]:
+def alike(values: np.ndarray, groups: np.ndarray, least: int) -> Iterator[np.ndarray]:
     """Sets of documents joined by likely links across groups."""
-    size = len(minima)
+    size = len(values)
     near = np.zeros((size, size), bool)
     for i in range(size - 1):
-        near[i, i + 1:] = ((minima[i + 1:] == minima[i]).sum(axis=1) >= least) & (groups[i + 1:] != groups[i])
+        near[i, i + 1:] = ((values[i + 1:] == values[i]).sum(axis=1) >= least) & (groups[i + 1:] != groups[i])
     near |= near.T
     label = np.arange(size)
     while True:
@@ -158,20 +173,21 @@ def alike(minima: np.ndarray, groups: np.ndarray, least: int) -> Iterator[np.nda
 
 def likely_clusters(cells: DataFrame, settings: NearDupSettings) -> DataFrame:
     """(cluster, docs, groups) of the documents of a cell that may have links across components."""
-    least = int((settings.percent / 100 - settings.margin) * settings.minima)
+    least = settings.least_equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in runs(batches, "cell"):
             docs, groups = table.column("doc").to_numpy(), table.column("component").to_numpy()
-            minima = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint32).reshape(len(docs), -1)
+            packed = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(docs), -1)
+            values = np.concatenate((packed & 15, packed >> 4), axis=1)
             bounds = np.append(first, len(docs)) if first[-1] != len(docs) else first
             found = []
             pairs = np.diff(bounds) == 2
             a = bounds[:-1][pairs]
-            close = ((minima[a] == minima[a + 1]).sum(axis=1) >= least) & (groups[a] != groups[a + 1])
+            close = ((values[a] == values[a + 1]).sum(axis=1) >= least) & (groups[a] != groups[a + 1])
             found += [np.array([i, i + 1]) for i in a[close]]
             for start, stop in zip(bounds[:-1][~pairs], bounds[1:][~pairs]):
-                found += [start + m for m in alike(minima[start:stop], groups[start:stop], least)]
+                found += [start + m for m in alike(values[start:stop], groups[start:stop], least)]
             found = [m[np.argsort(docs[m], kind="stable")] for m in found]
             names = [int(np.bitwise_xor.reduce(mix64(mix64(docs[m].view(np.uint64)) + np.uint64(len(m)))).view(np.int64))
                      for m in found]
@@ -210,6 +226,9 @@ def confirmed_links(clusters: DataFrame, docs: DataFrame, settings: NearDupSetti
     """Links (a, b) between components, confirmed on the full sets of the whole texts."""
     members = clusters.select("cluster", F.explode(F.arrays_zip("docs", "groups")).alias("m")).select(
         "cluster", F.col("m.docs").alias("doc_id"), F.col("m.groups").alias("component"))
+    ids = members.select("doc_id").distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     dealt = members.join(docs, "doc_id").repartition("cluster").sortWithinPartitions("cluster")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +282,7 @@ def cells_of(rows: DataFrame, size: int, level: int) -> DataFrame:
         F.xxhash64("node", "part").alias("cell"), "doc", "component")
 
 
-def join_sets(reps: DataFrame, docs: DataFrame, settings: NearDupSettings, known: DataFrame | None) -> DataFrame | None:
+def join_sets(reps: DataFrame, bits: DataFrame, docs: DataFrame, settings: NearDupSettings, known: DataFrame | None) -> DataFrame | None:
     """(doc, component) of documents whose component is not their own id; ``known`` is the same, to begin with."""
     labels = known
     nodes = roots(reps, range(settings.first_trees), settings)
@@ -281,7 +300,7 @@ def join_sets(reps: DataFrame, docs: DataFrame, settings: NearDupSettings, known
                 F.sum("c").alias("n"), F.max_by("component", "c").alias("main"), F.max("c").alias("main_n"))
         counts = write_once(counts.where("n > main_n"), "node-counts")
         rows = write_once(placed.join(counts, "node"), "members")
-        cells = cells_of(rows, settings.node_size, level).join(reps, "doc")
+        cells = cells_of(rows, settings.node_size, level).join(bits, "doc")
         clusters = write_once(likely_clusters(cells, settings).dropDuplicates(["cluster"]), "clusters")
         links = write_once(confirmed_links(clusters, docs, settings), "confirmed")
         labels = merged(labels, links)
@@ -316,12 +335,12 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
     firsts = write_once(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc")), "sets")
     # One row per distinct set. An id that has several sets is joined with itself by way of its least set's id.
     reps = write_once(filled.withColumnRenamed("doc_id", "doc").join(firsts, ["k1", "k2", "doc"]).select(
-        "doc", "minima", "k1", "k2").dropDuplicates(["k1", "k2", "doc"]).select("doc", "minima"), "reps")
+        "doc", "minima", "bits", "k1", "k2").dropDuplicates(["k1", "k2", "doc"]).select("doc", "minima", "bits"), "reps")
     owners = filled.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).select("doc_id", "doc")
     several = owners.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("doc_id", "a")
     known = merged(None, write_once(owners.join(several, "doc_id").select("a", F.col("doc").alias("b")).where(
         "a <> b").distinct(), "same-id"))
-    labels = join_sets(reps, narrow.where(F.col("doc_id").isNotNull()), settings, known)
+    labels = join_sets(reps.select("doc", "minima"), reps.select("doc", "bits"), narrow.where(F.col("doc_id").isNotNull()), settings, known)
     rows = sketched.select("doc_id", "n_shingles", "k1", "k2").join(firsts, ["k1", "k2"], "left").withColumn(
         "doc", F.when(F.col("n_shingles") > 0, F.col("doc")).otherwise(F.col("doc_id")))
     if labels is None:
