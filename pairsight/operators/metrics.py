@@ -76,7 +76,8 @@ def ranking_metrics(counts: DataFrame, buckets: int = RANGE_BUCKETS) -> DataFram
 
     Works on the counts of ``counted_scores``.
     """
-    running = running_totals(score_totals(counts), "score", ["pos", "neg"], buckets)
+    totals = write_once(score_totals(counts), "score-totals")
+    running = running_totals(totals, "score", ["pos", "neg"], buckets)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     positives, negatives = F.col("all_pos").cast("double"), F.col("all_neg").cast("double")
     below = F.col("all_neg") - F.col("cum_neg")
@@ -107,7 +108,7 @@ def roc_points(scored: DataFrame, label: str = "label", probability: str = "p",
     ``drop_intermediate`` leaves out points on a straight line between their neighbours: those
     whose step equals the next step in both directions.
     """
-    totals = score_totals(counted_scores(scored, label, None, probability))
+    totals = write_once(score_totals(counted_scores(scored, label, None, probability)), "score-totals")
     running = running_totals(totals, "score", ["pos", "neg"], buckets)
     if drop_intermediate:
         running = _mark_corners(running).where("_corner")

@@ -79,12 +79,19 @@ def dense_position(df: DataFrame, key: str, position: str, digits: int = HEX_DIG
     )
 
 
-def with_range_bucket(df: DataFrame, order: str, buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """Append ``_bucket`` by approximate quantiles of a numeric column (a scalar subquery)."""
-    points = F.array(*[F.lit(i / max(buckets, 2)) for i in range(1, max(buckets, 2))])
-    bounds = df.agg(F.array_distinct(F.percentile_approx(order, points, F.lit(10 * buckets)))).scalar()
-    bounded = df.withColumn("_bounds", bounds)
-    return bounded.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+def with_range_bucket(df: DataFrame, order: str, buckets: int = RANGE_BUCKETS, rows_per_bucket: int = 100_000) -> DataFrame:
+    """Append ``_bucket`` by approximate quantiles of a numeric column, at least ``buckets`` of them.
+
+    One pass over a stored table finds the bounds and the number of rows, so that no bucket holds much more than
+    ``rows_per_bucket`` distinct values, however many there are. The bounds are found first and then fixed.
+    """
+    n = df.count()
+    wanted = max(buckets, 2, -(-n // rows_per_bucket))
+    points = F.array(*[F.lit(i / wanted) for i in range(1, wanted)])
+    bounds = df.agg(F.array_distinct(F.percentile_approx(order, points, F.lit(10 * wanted)))).head()[0] or []
+    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    return df.withColumn("_edges", edges).withColumn(
+        "_bucket", F.size(F.filter("_edges", lambda b: b < F.col(order)))).drop("_edges")
 
 
 def running_totals(df: DataFrame, order: str, columns: list[str], buckets: int = RANGE_BUCKETS) -> DataFrame:
