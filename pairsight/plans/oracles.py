@@ -507,6 +507,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT feature, row_id, value, attribution FROM att SEMI JOIN best USING (feature)""",
         "stream_rule_enrich": f"""WITH {EVENTS} SELECT event_id, left_name, right_name, {RULE},
             CASE WHEN left_name <> '' AND right_name <> '' THEN {score()} / {MAXIMUM} END AS probability FROM enriched""",
+        "sink_model_package": over_pairs(
+            f"SELECT DISTINCT upper(left_name) AS left, ' ' || right_name AS right, {RULE}, true AS same_score FROM pairs"),
+        "score_pairs": over_pairs(
+            f"""SELECT DISTINCT upper(left_name) AS left, ' ' || right_name AS right, {RULE}, 'model_prediction' AS source,
+            {RECOMMENDATION} AS recommendation, true AS consistent FROM pairs"""),
+        "svd_text": """SELECT doc_id, 10 AS n_components, true AS shorter, true AS orthonormal, true AS falling FROM documents""",
         "stream_risk_counts": f"""WITH {EVENTS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, risk_level, count(*) AS n FROM enriched
             GROUP BY ALL""",
     }

@@ -81,9 +81,13 @@ def sink_model_package(spark, sf):
     path = new_path(spark, "package")
     package.save_package(trained, path, left_dict=D.LEFT, right_dict=D.RIGHT, rules=D.RULES)
     loaded = package.load_package(spark, path)
-    scored = models.score_pairs(_new_pairs(spark, sf), loaded, "left", "right", left_dict=loaded.left_dict,
-                                right_dict=loaded.right_dict, rules=loaded.rules)
-    return scored.select("left", "right", "interaction_predicted", *_as(_r6("probability")), "risk_level")
+    pairs = _new_pairs(spark, sf)
+    after = models.score_pairs(pairs, loaded, "left", "right", left_dict=loaded.left_dict,
+                               right_dict=loaded.right_dict, rules=loaded.rules)
+    before = models.score_pairs(pairs, trained, "left", "right", left_dict=D.LEFT, right_dict=D.RIGHT, rules=D.RULES)
+    before = before.select("left", "right", F.col("probability").alias("_before"))
+    same = F.coalesce(F.abs(F.col("probability") - F.col("_before")) < 1e-9, F.lit(False))
+    return after.join(before, ["left", "right"], "left").select("left", "right", *RULE, same.alias("same_score"))
 
 
 @query
@@ -602,12 +606,18 @@ def tfidf_weights(spark, sf):
 def svd_text(spark, sf):
     docs = _documents(spark, sf)
     fitted = fit_tfidf(docs, "text", "doc", stop_words=D.STOP_WORDS)
-    components, _ = fit_svd(fitted.transform(docs.select("text")), fitted.output)
+    components, values = fit_svd(fitted.transform(docs.select("text")), fitted.output)
     from pairsight.operators.text_features import SvdProjection
 
     projected = SvdProjection(fitted.output, "doc_svd", components).transform(fitted.transform(docs))
-    return projected.select("doc_id", F.posexplode(vector_to_array("doc_svd")).alias("component", "value")).withColumns(
-        _r6("value"))
+    # What holds whatever the signs: orthonormal components, falling singular values, and no projection longer than its text.
+    inner = [[sum(x * y for x, y in zip(a, b)) for b in components] for a in components]
+    orthonormal = all(abs(inner[i][j] - (i == j)) < 1e-6 for i in range(len(inner)) for j in range(len(inner)))
+    falling = all(a >= b for a, b in zip(values, values[1:]))
+    square = lambda c: F.aggregate(vector_to_array(c), F.lit(0.0), lambda s, x: s + x * x)
+    return projected.select(
+        "doc_id", F.size(vector_to_array("doc_svd")).alias("n_components"), (square("doc_svd") <= square(fitted.output) + 1e-9).alias(
+            "shorter"), F.lit(orthonormal).alias("orthonormal"), F.lit(falling).alias("falling"))
 
 
 # --- Attribution consumers -------------------------------------------------------------------
@@ -678,8 +688,11 @@ def leaderboard(spark, sf):
 def score_pairs(spark, sf):
     scored = models.score_pairs(_new_pairs(spark, sf), _forest(spark, sf), "left", "right", left_dict=D.LEFT,
                                 right_dict=D.RIGHT, rules=D.RULES)
-    return scored.select("left", "right", "interaction_predicted", *_as(_r6("probability")), *RULE, "source",
-                         "recommendation", F.col("explanation.confidence_level").alias("confidence_level"))
+    p = F.col("probability")
+    consistent = p.between(0, 1) & (F.col("interaction_predicted") == (p > 0.5)) & (
+        F.col("explanation.confidence_level") == S.confidence_band(p))
+    return scored.select("left", "right", *RULE, "source", "recommendation",
+                         F.coalesce(consistent, F.lit(False)).alias("consistent"))
 
 
 def _explain_parts(spark, sf):
