@@ -13,7 +13,7 @@ as many hash functions. A tree branches a node's documents by a few of these coo
 - A large node with few documents outside its main component is compared in cells that hold those few and a part of the rest:
   every pair across components is looked at, so it ends there.
 
-Comparing means: estimate by four bits of each coordinate, with a margin of five standard errors, then confirm on the
+Comparing means: estimate by four bits of each coordinate, with a margin of four standard errors, then confirm on the
 full sets of the texts. Only texts with a likely link are read for that: their ids are broadcast up to a checked number, and
 beyond it the texts are shuffled. Trees are independent; ``trees`` of them miss a pair at the threshold with a chance of about 0.11 ** trees.
 Links are a spanning set within a compared group, so a group of copies never yields all its pairs.
@@ -53,7 +53,7 @@ class NearDupSettings:
     trees: int = 8
     first_trees: int = 2       # trees of the first level; the others start once its links are known
     node_size: int = 1024
-    margin: float = 5.0        # standard errors below the threshold up to which an estimate is still confirmed
+    margin: float = 4.0        # standard errors below the threshold up to which an estimate is still confirmed
 
     @property
     def least_equal(self) -> int:
