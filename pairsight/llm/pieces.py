@@ -36,8 +36,8 @@ class PieceCache:
     piece. Index 0 is the piece without ids.
     """
 
-    def __init__(self, letters: Encoder, others: Encoder):
-        self.letters, self.others = letters, others
+    def __init__(self, letters: Encoder, others: Encoder, limit: int | None = None):
+        self.letters, self.others, self.limit = letters, others, limit
         self.clear()
 
     def clear(self) -> None:
@@ -74,7 +74,7 @@ class PieceCache:
 
     def room(self) -> None:
         """Start afresh when full; called between slices, so indices stay valid within one."""
-        if len(self.place) > MAX_PIECES or self.chars > MAX_CHARS:
+        if len(self.place) > (self.limit or MAX_PIECES) or self.chars > MAX_CHARS:
             self.clear()
 
     def gather(self, indices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +167,8 @@ def append_to_each(ids: np.ndarray, counts: np.ndarray, last: int) -> tuple[np.n
 _loaded: dict[tuple[str, str], tuple[PieceCache, object]] = {}
 
 
-def tokenizer_pieces(path: str, kind: str) -> tuple[PieceCache, object]:
-    """Cache and cut for a ``tokenizers`` file; one of each per worker process.
+def tokenizer_pieces(path: str, kind: str, limit: int | None = None) -> tuple[PieceCache, object]:
+    """Cache (of at most ``limit`` pieces) and cut for a ``tokenizers`` file; one of each per worker process.
 
     ``kind`` is "word" (a byte-pair vocabulary that folds case, drops white space and marks word ends with
     ``</w>``) or "byte" (byte-level, a leading space shown as U+0120). Strings of special tokens inside a text are
@@ -197,7 +197,7 @@ def tokenizer_pieces(path: str, kind: str) -> tuple[PieceCache, object]:
             bounds = np.concatenate(([0], edges + 1)) if kind == "word" else np.concatenate((edges, [len(ids)]))
             return ids, np.diff(bounds)
 
-        _loaded[path, kind] = PieceCache(together, one_by_one), {"word": WordCut, "byte": SpaceCut}[kind]()
+        _loaded[path, kind] = PieceCache(together, one_by_one, limit), {"word": WordCut, "byte": SpaceCut}[kind]()
     return _loaded[path, kind]
 
 
