@@ -52,7 +52,7 @@ class NearDupSettings:
     minima: int = 64
     trees: int = 8
     first_trees: int = 2       # trees of the first level; the others start once its links are known
-    node_size: int = 1024
+    node_size: int = 2048
     margin: float = 4.0        # standard errors below the threshold up to which an estimate is still confirmed
 
     @property
