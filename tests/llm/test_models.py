@@ -195,3 +195,21 @@ def test_training_lowers_the_loss():
     loss = lambda p: attention_model.step(p, *windows[:3], priors[windows[3]]).loss
     start = attention_model.initial()
     assert loss(attention_model.train(start, windows, priors, 150)) < 0.5 * loss(start)
+
+
+def test_windows_cover_every_training_text_from_start_to_end(spark):
+    from tokenizers import Tokenizer
+
+    kinds = attention_lm.classes_of(SETTINGS.path)
+    tokenizer = Tokenizer.from_file(SETTINGS.path)
+    tokenizer.encode_special_tokens = True
+    table = attention_lm.text_windows(documents(spark, LM_ROWS), SETTINGS.path).toArrow()
+    classes, _, targets, inputs = attention_lm.training_windows(table, SETTINGS.path)
+    expected_in, expected_out = Counter(), Counter()
+    for _, text in LM_ROWS:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        expected_in.update([kinds.end + 1, *ids])
+        expected_out.update(kinds.classes[[*ids, kinds.end]].tolist())
+    assert Counter(inputs[targets >= 0].tolist()) == expected_in
+    assert Counter(targets[targets >= 0].tolist()) == expected_out
+    assert (classes[targets < 0] == attention_model.CLASSES).all()
