@@ -203,8 +203,10 @@ def test_windows_cover_every_training_text_from_start_to_end(spark):
     kinds = attention_lm.classes_of(SETTINGS.path)
     tokenizer = Tokenizer.from_file(SETTINGS.path)
     tokenizer.encode_special_tokens = True
-    table = attention_lm.text_windows(documents(spark, LM_ROWS), SETTINGS.path).toArrow()
-    classes, _, targets, inputs = attention_lm.training_windows(table, SETTINGS.path)
+    groups = attention_lm.dealt(attention_lm.text_windows(documents(spark, LM_ROWS), SETTINGS.path), 7).collect()
+    parts = [attention_lm.training_windows(g.ids, g.sizes, SETTINGS.path) for g in groups]
+    assert len(groups) == 7 and [g.n for g in groups] == [len(p[0]) for p in parts]
+    classes, _, targets, inputs = (np.concatenate(x) for x in zip(*parts))
     expected_in, expected_out = Counter(), Counter()
     for _, text in LM_ROWS:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -213,3 +215,31 @@ def test_windows_cover_every_training_text_from_start_to_end(spark):
     assert Counter(inputs[targets >= 0].tolist()) == expected_in
     assert Counter(targets[targets >= 0].tolist()) == expected_out
     assert (classes[targets < 0] == attention_model.CLASSES).all()
+
+
+def test_subwords_of_one_class_and_letter_are_told_apart_by_id():
+    draw = np.random.default_rng(2)
+    ids = draw.integers(0, 2, (300, attention_model.SPAN))
+    one = np.ones_like(ids)
+    windows = (one, one, 3 + ids, ids)   # the target follows from the id alone
+    priors = np.zeros((2, attention_model.CLASSES), np.float32)
+    params = attention_model.train(attention_model.initial(size=2), windows, priors, 200)
+    n = ids.size
+    logs = attention_model.class_log10(params, one.ravel(), one.ravel(), windows[2].ravel(), np.array([0, n]), ids.ravel(), priors)
+    assert logs.mean() > math.log10(0.8)   # the class and letter alone: 0.5
+
+
+def test_gradient_rows_of_ids_match_differences():
+    draw = np.random.default_rng(4)
+    shape = (2, attention_model.SPAN)
+    ids, targets = draw.integers(0, 5, shape), draw.integers(-1, attention_model.CLASSES, shape)
+    one, prior = np.ones(shape, np.int64), np.zeros((*shape, attention_model.CLASSES))
+    params = {n: v.astype(float) for n, v in attention_model.initial(size=6).items()}
+    params["w2"] *= 20
+    got = attention_model.step(params, one, one, targets, prior, ids)
+    for row, gradient in zip(got.rows, got.row_gradients):
+        up, down = ({**params, "id_in": params["id_in"].copy()} for _ in range(2))
+        up["id_in"][row, 3] += 1e-5
+        down["id_in"][row, 3] -= 1e-5
+        slope = (attention_model.step(up, one, one, targets, prior, ids).loss - attention_model.step(down, one, one, targets, prior, ids).loss) / 2e-5
+        assert gradient[3] == pytest.approx(slope, rel=2e-3, abs=1e-7)
