@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -243,3 +244,12 @@ def test_gradient_rows_of_ids_match_differences():
         down["id_in"][row, 3] -= 1e-5
         slope = (attention_model.step(up, one, one, targets, prior, ids).loss - attention_model.step(down, one, one, targets, prior, ids).loss) / 2e-5
         assert gradient[3] == pytest.approx(slope, rel=2e-3, abs=1e-7)
+
+
+def test_pairs_that_are_not_broadcast_keep_their_share(spark):
+    docs = documents(spark, LM_ROWS)
+    held = queries.fold("doc_id", 7) == 2
+    few, all_ = ({(r.doc_id, r.n_tokens): r.score for r in attention_lm.score_table(
+        docs, held, replace(SETTINGS, rounds=1, least_steps=5, pairs=n)).collect()} for n in (3, 200_000))
+    assert few.keys() == all_.keys()
+    assert all(few[k] == pytest.approx(all_[k], rel=1e-4, abs=1e-4) for k in few)
