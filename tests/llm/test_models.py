@@ -253,3 +253,15 @@ def test_pairs_that_are_not_broadcast_keep_their_share(spark):
         docs, held, replace(SETTINGS, rounds=1, least_steps=5, pairs=n)).collect()} for n in (3, 200_000))
     assert few.keys() == all_.keys()
     assert all(few[k] == pytest.approx(all_[k], rel=1e-4, abs=1e-4) for k in few)
+
+
+def test_buckets_of_rare_words_are_bounded_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "BUCKET_TOKENS", 200)
+    asked, rare_sums = [], attention_lm.rare_sums
+    monkeypatch.setattr(attention_lm, "rare_sums", lambda p, v, n: asked.append((n, p)) or rare_sums(p, v, n))
+    settings = replace(SETTINGS, rounds=0)
+    docs = documents(spark, [(1000 + i, " ".join(f"rare{i}x{j}" for j in range(400))) for i in range(60)])
+    attention_lm.score_table(docs, queries.fold("doc_id", 7) == 2, replace(settings, hot=1)).count()
+    n, packed = asked[0]
+    each = packed.groupBy("kind").agg(F.sum(F.length("words") / 8).alias("n")).agg(F.max("n")).first()[0]
+    assert n == 60 * 400 // 200 and each < 400
