@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairsight.plans.shared import write_once
+
 LABELLED_SCHEMA = (
     "drug string, food string, interaction int, drug_category string, food_category string, "
     "mechanism string, risk_level string")
 CURATED_SCHEMA = (
     "drug string, food string, risk_level string, mechanism string, explanation string, recommendations string")
-REPLACEMENT = "�"
 
 
 # Cell texts that count as missing.
@@ -25,25 +24,47 @@ def read_pairs_csv(spark: SparkSession, path: str, columns: list[str] | None = N
     """CSV with a header, every column read as a string.
 
     ``columns`` are all columns of the file in order; by default the header line is asked. Lines
-    with too many fields are dropped and lines with too few are padded with nulls. Text that is not
-    valid UTF-8 is read as Latin-1 instead, at the price of a second pass in that case.
+    with too many fields are dropped (``rejected_lines`` has them) and lines with too few are padded with nulls. A
+    file that is not valid UTF-8 is read as Latin-1 instead, whatever the other files are.
     ``multi_line`` allows quoted line breaks; such files cannot be split.
     """
-    if columns is None:
-        columns = spark.read.option("header", True).csv(path).columns
-    utf8 = _csv(spark, path, columns, "UTF-8", multi_line)
-    bad = reduce(lambda a, b: a | b, [F.contains(F.col(c), F.lit(REPLACEMENT)) for c in columns])
-    rows = utf8
-    if utf8.where(bad).limit(1).count():
-        rows = _csv(spark, path, columns, "ISO-8859-1", multi_line)
+    columns = columns or _header(spark, path)
+    rows = _by_encoding(spark, path, columns, multi_line).where(F.col("_extra").isNull())
     return rows.select(*[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) for c in columns])
 
 
-def _csv(spark: SparkSession, path: str, columns: list[str], encoding: str, multi_line: bool) -> DataFrame:
-    schema = ", ".join(f"`{c}` string" for c in [*columns, "_extra"])
+def rejected_lines(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """(file, line): the lines that ``read_pairs_csv`` drops because they have too many fields."""
+    columns = columns or _header(spark, path)
+    rows = _by_encoding(spark, path, columns, multi_line, "_line").where(F.col("_extra").isNotNull())
+    # A line with one field too many fits the schema of the read, so it is put together again.
+    line = F.coalesce("_line", F.to_csv(F.struct(*columns, "_extra"), {"escape": '"'}))
+    return rows.select(F.col("_file").alias("file"), line.alias("line"))
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.option("header", True).csv(path).columns
+
+
+def _by_encoding(spark: SparkSession, path: str, columns: list[str], multi_line: bool, *more: str) -> DataFrame:
+    """All lines with ``_extra`` and ``_file``, each file in its own encoding."""
+    file = F.col("_metadata.file_path").alias("_file")
+    # The text reader keeps the bytes of a line as they are. One row for each file at most.
+    other = write_once(spark.read.text(path).where(~F.is_valid_utf8("value")).select(file).distinct(), "latin-files")
+    utf8 = _csv(spark, path, columns, "UTF-8", multi_line, *more)
+    if not other.limit(1).count():
+        return utf8
+    latin = _csv(spark, path, columns, "ISO-8859-1", multi_line, *more)
+    return utf8.join(F.broadcast(other), "_file", "left_anti").unionByName(
+        latin.join(F.broadcast(other), "_file", "left_semi"))
+
+
+def _csv(spark: SparkSession, path: str, columns: list[str], encoding: str, multi_line: bool, *more: str) -> DataFrame:
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_extra", *more])
     read = spark.read.schema(schema).option("header", True).option("encoding", encoding).option(
-        "enforceSchema", True).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line)
-    return read.csv(path).where(F.col("_extra").isNull()).drop("_extra")
+        "enforceSchema", True).option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multi_line).option(
+        "columnNameOfCorruptRecord", "_line")
+    return read.csv(path).select(*columns, "_extra", *more, F.col("_metadata.file_path").alias("_file"))
 
 
 def read_labelled(spark: SparkSession, path: str, file_format: str = "parquet", schema: str = LABELLED_SCHEMA) -> DataFrame:

@@ -31,6 +31,17 @@ def test_csv_bad_lines_and_encodings(spark, tmp_path):
     assert [tuple(r) for r in tables.read_pairs_csv(spark, str(latin), ["drug", "food"]).collect()] == [("café", "thé")]
 
 
+def test_csv_encoding_is_decided_for_each_file(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("drug,food\ncaf\u00e9,milk\none,two,three\nreal \ufffd,tea\n".encode())
+    (folder / "b.csv").write_bytes("drug,food\nth\u00e9,milk\n\u00fc,2,3,4\n".encode("latin-1"))
+    got = {tuple(r) for r in tables.read_pairs_csv(spark, str(folder), ["drug", "food"]).collect()}
+    assert got == {("caf\u00e9", "milk"), ("real \ufffd", "tea"), ("th\u00e9", "milk")}
+    dropped = {(r.file.rsplit("/", 1)[1], r.line) for r in tables.rejected_lines(spark, str(folder), ["drug", "food"]).collect()}
+    assert dropped == {("a.csv", "one,two,three"), ("b.csv", "\u00fc,2,3,4")}
+
+
 def test_curated_json_array(spark, tmp_path):
     path = tmp_path / "curated.json"
     path.write_text(json.dumps(CURATED, indent=2))
