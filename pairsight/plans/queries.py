@@ -650,8 +650,8 @@ def dependence_points(spark, sf):
 
 # --- Models ----------------------------------------------------------------------------------
 
-# Small ensembles: the queries show the operators; real training keeps the default sizes.
-SETTINGS = models.LearnerSettings(trees=10, boosting_rounds=3, max_depth=5, perceptron_iterations=3)
+SETTINGS = models.LearnerSettings()
+REPLICATES = 20
 _trained: dict[tuple, object] = {}
 
 
@@ -746,10 +746,10 @@ def uncertainty_bootstrap(spark, sf):
     _, train, test = _prepared(spark, sf)
 
     def forest(weight, seed):
-        return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=weight, numTrees=5,
-                                      maxDepth=4, seed=seed)
+        return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=weight,
+                                      numTrees=SETTINGS.trees, maxDepth=SETTINGS.depth(15), minInstancesPerNode=2, seed=seed)
 
-    predictions = explain.bootstrap_predictions(train, test, "row_id", forest, replicates=3)
+    predictions = explain.bootstrap_predictions(train, test, "row_id", forest, replicates=REPLICATES)
     summary = M.uncertainty_summary(predictions, ["row_id"])
     return summary.groupBy("uncertainty_level").agg(F.count("*").alias("n"), F.avg("std_probability").alias("mean_std"))
 

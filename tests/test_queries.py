@@ -30,3 +30,10 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     assert compare(spark, duck, name, SF_DIR) == ""
+
+
+def test_model_queries_fit_the_full_sizes():
+    from pairsight.operators.models import LearnerSettings
+    from pairsight.plans import queries as registered
+
+    assert registered.SETTINGS == LearnerSettings() and registered.REPLICATES == 20
