@@ -48,5 +48,29 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM parts GROUP BY conv_id
+""",
+    "op11_lexical_search": r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+sizes AS (SELECT doc_id, sum(len(terms)) AS n FROM t GROUP BY doc_id),
+totals AS (SELECT count(*) FILTER (WHERE n > 0) AS big_n, sum(n) AS big_l FROM sizes),
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY doc_id, term),
+freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+scores AS (
+  SELECT q.item_id, p.doc_id,
+         sum(CAST(floor(1000 * ln((2.0 * totals.big_n + 2) / (2.0 * freq.df + 1))) AS BIGINT)
+             * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + CAST((CAST(90 AS HUGEINT) * s.n * totals.big_n) // totals.big_l AS BIGINT))))) AS score
+  FROM q JOIN post p ON p.term = q.term JOIN freq ON freq.term = q.term JOIN sizes s ON s.doc_id = p.doc_id, totals
+  WHERE p.doc_id IS NOT NULL
+  GROUP BY q.item_id, p.doc_id),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
 """,
 }

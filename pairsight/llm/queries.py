@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsight.llm import attention_lm, byte_bpe, chat, near_dup, packing, quality, token_files, topk, toxicity, url_filter
+from pairsight.llm import (attention_lm, byte_bpe, chat, lexical_search, near_dup, packing, quality, token_files, topk,
+                           toxicity, url_filter)
 from pairsight.plans.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,7 @@ SCHEMAS = {
     "pages": "page_id long, url string, html string",
     "labels": "doc_id long, quality int, toxic int",
     "conversations": "conv_id long, turn long, role string, text string",
+    "benchmark": "item_id long, text string",
 }
 # The rules and the conversation that the queries' contract names.
 URL_RULES = [
@@ -110,5 +112,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_share", "base_failed", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.ranked
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_files, op2_url_filter, op3_byte_bpe, op4_top_k, op5_lm_scoring, op6_near_dup, op7_packing, op8_toxicity, op9_chat, op10_quality)}
+    op1_token_files, op2_url_filter, op3_byte_bpe, op4_top_k, op5_lm_scoring, op6_near_dup, op7_packing, op8_toxicity, op9_chat, op10_quality,
+    op11_lexical_search)}
