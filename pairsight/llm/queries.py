@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsight.llm import (attention_lm, byte_bpe, chat, lexical_search, near_dup, packing, quality, token_files, topk,
-                           toxicity, url_filter)
+from pairsight.llm import (attention_lm, byte_bpe, chat, lexical_search, near_dup, packing, quality, token_alignment,
+                           token_files, topk, toxicity, url_filter)
 from pairsight.plans.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +117,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.ranked
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                    vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_files, op2_url_filter, op3_byte_bpe, op4_top_k, op5_lm_scoring, op6_near_dup, op7_packing, op8_toxicity, op9_chat, op10_quality,
-    op11_lexical_search)}
+    op11_lexical_search, op13_token_alignment)}
