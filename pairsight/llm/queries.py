@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsight.llm import (attention_lm, byte_bpe, chat, lexical_search, near_dup, packing, quality, token_alignment,
+from pairsight.llm import (attention_lm, byte_bpe, chat, fingerprints, lexical_search, near_dup, packing, quality,
+                           token_alignment,
                            token_files, topk, toxicity, url_filter)
 from pairsight.plans.shared import new_path
 
@@ -117,6 +118,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.ranked
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(load(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = token_alignment.align(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                                     vocabulary("piece_bpe_32k.model"))
@@ -126,4 +131,4 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_token_files, op2_url_filter, op3_byte_bpe, op4_top_k, op5_lm_scoring, op6_near_dup, op7_packing, op8_toxicity, op9_chat, op10_quality,
-    op11_lexical_search, op13_token_alignment)}
+    op11_lexical_search, op12_fingerprints, op13_token_alignment)}
