@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsight import values as V
+from pairsight.plans.shared import write_once
 
 # Beyond this many terms the CASE-like expression gets too large to compile well.
 INLINE_TERM_LIMIT = 400
@@ -81,7 +82,7 @@ def _hits(text: Column, terms, word_boundary: bool) -> Column:
         tests = [text.rlike(rf"\b{re.escape(t)}\b") for t in terms]
     else:
         tests = [F.contains(text, F.lit(t)) for t in terms]
-    return reduce(lambda a, b: a + b, [t.cast("int") for t in tests])
+    return reduce(lambda a, b: a + b, [t.cast("int") for t in tests], F.lit(0))
 
 
 def _category_by_array(name: Column, dictionary: CategoryDictionary, word_boundary: bool) -> Column:
@@ -168,3 +169,67 @@ def with_rule_table(pairs: DataFrame, rules: DataFrame) -> DataFrame:
 def enrich(pairs: DataFrame, left: str, right: str, left_dict: CategoryDictionary = LEFT,
            right_dict: CategoryDictionary = RIGHT, rules: RuleTable = RULES) -> DataFrame:
     return with_rule(with_categories(pairs, left, right, left_dict, right_dict), rules)
+
+
+# --- Dictionaries of any size: an n-gram index joined with the names --------------------------------------------
+
+GRAM = 3               # characters of an index key
+HOT_ROWS = 100_000     # names behind one index key before the key is split into salts
+
+
+def _grams(text: Column, k: int) -> Column:
+    """Distinct substrings of k characters; none for a shorter text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(0)))
+    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(text, i, k)), lambda g: F.length(g) == k))
+
+
+def category_by_index(names: DataFrame, name_col: str, terms: DataFrame, gram: int = GRAM,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(name, category) for each distinct value of ``name_col``, against an (ord, category, term) table of any size.
+
+    The result equals ``category_of`` with the same dictionary: the category with the most term rows that are
+    substrings of the lower-cased name, the smaller ``ord`` on a tie, ``other`` without a hit. Nothing is collected
+    and the dictionary never enters the plan as a literal.
+
+    Index: every distinct name gives its distinct ``gram``-character substrings (and, if the dictionary has shorter
+    terms, its substrings of their lengths). Every term is anchored on one key: a shorter term on itself, a longer one
+    on the substring of ``gram`` characters that the fewest names hold (the smallest on a tie), so that common
+    keys are avoided. A name can hold a term only if it holds the term's anchor, so the equi-join on the anchor
+    finds every candidate, and ``contains`` confirms it. An anchor held by more than ``hot_rows`` names is split
+    into salts: names are dealt over them by a hash, the anchor's terms are copied to each. The table of such
+    anchors has at most (rows of name keys) / ``hot_rows`` rows, so it is broadcast.
+
+    Defined cases: a null name is ``other``; null and empty terms are dropped (an empty term would be a hit for
+    every name); rows that repeat a term in a category count as often as they occur, as in ``category_of``; other
+    columns are not read; an empty dictionary or table gives ``other`` or no rows.
+    """
+    spark = names.sparkSession
+    distinct = names.select(F.col(name_col).alias("name")).distinct().withColumn(
+        "lowered", F.coalesce(F.lower("name"), F.lit("")))
+    rows = (terms.where(F.col("term").isNotNull() & (F.length("term") > 0))
+            .groupBy("ord", "category", "term").agg(F.count("*").alias("mult")))
+    # At most gram - 1 lengths come to the driver.
+    short = sorted(r[0] for r in rows.select(F.length("term").alias("n")).where(F.col("n") < gram).distinct().collect())
+    keyed = F.flatten(F.array(*[_grams(F.col("lowered"), k) for k in [*short, gram]]))
+    name_keys = distinct.select("name", "lowered", F.explode(keyed).alias("key"))
+    name_keys = write_once(name_keys, "category-name-keys")
+    held = name_keys.groupBy("key").agg(F.count("*").alias("names"))
+    words = rows.select("term").distinct()
+    long_keys = words.where(F.length("term") >= gram).select("term", F.explode(_grams(F.col("term"), gram)).alias("key"))
+    anchored = (long_keys.join(held, "key", "left").fillna({"names": 0})
+                .groupBy("term").agg(F.min_by("key", F.struct("names", "key")).alias("key"))
+                .unionByName(words.where(F.length("term") < gram).select("term", F.col("term").alias("key"))))
+    hot = F.broadcast(held.where(F.col("names") > hot_rows)
+                      .select("key", F.ceil(F.col("names") / hot_rows).cast("int").alias("salts")))
+    name_side = name_keys.join(hot, "key", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("name"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    term_side = anchored.join(hot, "key", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    found = (name_side.join(term_side, ["key", "salt"]).where(F.contains(F.col("lowered"), F.col("term")))
+             .select("name", "term"))
+    hits = found.join(rows, "term").groupBy("name", "ord", "category").agg(F.sum("mult").alias("hits"))
+    best = hits.groupBy("name").agg(F.max(F.struct("hits", (-F.col("ord")).alias("rank"), "category")).alias("b"))
+    best = best.select("name", F.col("b.category").alias("category"))
+    empty = spark.createDataFrame([], "name string, category string")
+    return distinct.select("name").join(best.unionByName(empty), "name", "left").select(
+        "name", F.coalesce("category", F.lit(V.OTHER)).alias("category"))

@@ -293,8 +293,27 @@ JACCARD = ("round(len(list_intersect(list_distinct(string_split({0}, '')), list_
            "greatest(len(list_distinct(list_concat(string_split({0}, ''), string_split({1}, '')))), 1), 6)")
 
 
+def large_categories() -> str:
+    fixed = [(i, c, t) for i, (c, ts) in enumerate(D.LEFT.entries) for t in ts]
+    topic = U60.format("w") + " % 40"
+    return f"""
+WITH words AS (
+  SELECT DISTINCT w FROM (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[a-z]+')) AS w FROM documents)
+  WHERE length(w) BETWEEN 4 AND 12),
+terms(ord, category, term) AS (
+  SELECT * FROM (VALUES {values(fixed)})
+  UNION ALL SELECT CAST({len(D.LEFT.entries)} + {topic} AS INTEGER), 'topic_' || CAST({topic} AS VARCHAR), w FROM words),
+names AS (SELECT DISTINCT p_name AS name FROM part),
+hits AS (SELECT n.name, t.category, t.ord, count(*) AS hits FROM names n JOIN terms t ON contains(lower(n.name), t.term) GROUP BY ALL),
+best AS (SELECT name, category FROM hits QUALIFY row_number() OVER (PARTITION BY name ORDER BY hits DESC, ord) = 1)
+SELECT p_partkey, p_name, coalesce(b.category, 'other') AS category FROM part LEFT JOIN best b ON b.name = p_name"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
+        "categorize_large": large_categories(),
         "src_pairs_csv": over_pairs("SELECT left_name AS drug, right_name AS food FROM pairs"),
         "src_labelled": over_pairs(
             "SELECT left_name AS drug, right_name AS food, label AS interaction, left_category AS drug_category, "

@@ -144,6 +144,32 @@ def categorize_right(spark, sf):
     return D.right_lines(spark, sf).select("row_id", "right_name", "right_category")
 
 
+# Topics of the large dictionary: each distinct word of the documents table falls into one by its MD5 integer.
+LARGE_TOPICS = 40
+
+
+def large_dictionary(spark, sf) -> DataFrame:
+    """(ord, category, term): the fixed left categories, then every distinct word of 4 to 12 letters A-Z of the
+    documents as a term of one of LARGE_TOPICS topics. Tens of thousands of terms at sf0.01, more with the corpus."""
+    from pairsight.functions.hashing import u60
+
+    letters = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = (D.load(spark, sf, "documents").select(F.explode(F.regexp_extract_all(letters, F.lit("([a-z]+)"), 1)).alias("term"))
+             .where(F.length("term").between(4, 12)).distinct())
+    topic = u60(F.col("term")) % LARGE_TOPICS
+    derived = words.select((F.lit(len(D.LEFT.entries)) + topic).cast("int").alias("ord"),
+                           F.concat(F.lit("topic_"), topic.cast("string")).alias("category"), "term")
+    return D.LEFT.to_table(spark).unionByName(derived)
+
+
+@query
+def categorize_large(spark, sf):
+    parts = D.load(spark, sf, "part").select("p_partkey", "p_name")
+    found = categorize.category_by_index(parts, "p_name", large_dictionary(spark, sf))
+    return parts.join(found, parts["p_name"].eqNullSafe(found["name"]), "left").select(
+        "p_partkey", "p_name", F.coalesce("category", F.lit("other")).alias("category"))
+
+
 @query
 def rule_join(spark, sf):
     return D.pair_table(spark, sf).select("row_id", *RULE)
