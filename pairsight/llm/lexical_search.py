@@ -4,20 +4,21 @@ Every document becomes an *impact vector* over the terms that some query holds:
 (1000 * tf + 8 * m)), with w = floor(1000 * ln((2N + 2) / (2 df + 1))) and m = 10 + (90 n N) div L. A query is the
 0/1 vector of its distinct terms, so its score for a document is the inner product of the two.
 
-Documents are put into buckets by the length of their impact vector: a band is a factor of 2^(1/4) of length, and a
-band is cut by a hash of doc_id into buckets of about ``bucket_docs`` documents. The stored postings are sorted by
-length, longest first, within each file, so the row groups of long vectors come first and a filter on length skips
-the others at the scan. Work then follows LEMP:
-
-1. The longest bands holding about ``seed_share`` of the documents are scored exactly for every query; the kth
-   score found is a lower bound theta of the query's kth score.
-2. For every other bucket, Cauchy-Schwarz gives |q| * |d| <= |q| * (upper edge of the band) as a bound; buckets
-   below theta are skipped. Inside the buckets left, coordinate bounds (the sum over the query's terms of the
-   bucket's largest impact for that term) skip more buckets.
-3. Postings of the buckets that survive are rescored exactly in 64-bit integers, and the best k per query are kept.
+Documents are put into buckets by the length of their impact vector, a bucket being a factor of 2^(1/4) of
+length. Each document is stored once as a forward-index row (its query terms and impacts), sorted by length, longest
+first, within each file, so the row groups of long vectors come first and a filter on length skips the others at
+the scan. Work then follows LEMP:
+
+1. The longest buckets, until they hold ``seed_docs`` documents, are scored exactly for every query that shares a
+   term with them; the kth score found is a lower bound theta of the query's kth score.
+2. Cauchy-Schwarz: a bucket whose upper length edge times |q| is below theta can hold no result and is skipped.
+   Inside the other buckets, coordinate bounds: the bucket's largest impact of each query term. Sorted by that
+   bound, the query's terms whose bounds sum to less than theta can't lift a document to theta on their own, so
+   only documents that hold one of the other (essential) terms are candidates.
+3. Candidates are rescored exactly in 64-bit integers from their forward-index rows; the best k per query stay.
 
 Lengths are taken over the query terms' coordinates only: no other coordinate meets a query, and the shorter
-vector gives a tighter, still valid, bound. The share of postings scored is ``SearchResult.scored_share()``.
+vector gives a tighter, still valid, bound. The share of documents rescored is ``SearchResult.scored_share()``.
 
 Defined cases: null text has no terms; a document without terms counts neither in N nor in L and scores nothing;
 rows that repeat a doc_id are one document whose terms are pooled; rows with a null doc_id are a document for the
@@ -31,6 +32,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,21 +54,20 @@ MAX_QUERY_TERMS = 5_000_000  # distinct (item, term) rows broadcast at most; bey
 @dataclass(frozen=True)
 class SearchSettings:
     k: int = 10
-    bucket_docs: int = 4096     # documents of a bucket within its band
-    seed_share: float = 0.02    # share of documents, longest first, scored for every query before any pruning
+    seed_docs: int = 4096       # documents of the longest buckets scored for every query before any pruning
+    max_broadcast: int = 20_000_000  # candidate (item, document) pairs broadcast at most; beyond, the join shuffles
 
 
 @dataclass
 class SearchResult:
     ranked: DataFrame           # item_id, rank, doc_id, score
-    matched: DataFrame          # (item, posting) rows of all query terms: what a plain inverted index scores
-    seeded: DataFrame           # such rows scored in the first step
-    survivors: DataFrame        # such rows scored after pruning
+    matched: DataFrame          # (item, document) pairs with a score above 0: what a plain inverted index scores
+    scored: DataFrame           # (item, document) pairs scored exactly after pruning: the first buckets' and the candidates
 
     def scored_share(self) -> float:
-        """Share of the (item, posting) rows that were scored exactly; three more passes, for reports only."""
+        """Share of the (item, document) pairs that share a term and were scored exactly; for reports only."""
         total = self.matched.count()
-        return (self.seeded.count() + self.survivors.count()) / total if total else 0.0
+        return self.scored.count() / total if total else 0.0
 
 
 def terms_of(text) -> F.Column:
@@ -76,16 +80,19 @@ def _sized(frame: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= limit else frame
 
 
-def postings_table(docs: DataFrame, query_terms: DataFrame, settings: SearchSettings) -> DataFrame:
-    """(doc_id, term, impact, bucket, edge) for every document and query term it holds, longest vectors first."""
+def forward_index(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """(doc_id, edge, tids, impacts): each document's query terms (ids in the sorted query vocabulary, ascending)
+    and their impacts, longest vectors first."""
     spark = docs.sparkSession
     terms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms_of(F.col("text")).alias("terms"))
     sizes = terms.groupBy("doc_id").agg(F.sum(F.size("terms")).cast("long").alias("n"))
     totals = sizes.agg(F.count_if(F.col("n") > 0).alias("N"), F.sum("n").alias("L")).first()
     n_docs, n_terms = int(totals["N"] or 0), int(totals["L"] or 0)
     if n_docs == 0:
-        return spark.createDataFrame([], "doc_id long, term string, impact long, bucket long, edge double")
+        return spark.createDataFrame([], "doc_id long, edge double, tids array<int>, impacts array<long>")
     vocabulary = _sized(query_terms.select("term").distinct(), MAX_QUERY_TERMS)
+    if vocabulary.count() > MAX_QUERY_TERMS:
+        raise ValueError(f"more than {MAX_QUERY_TERMS} distinct query terms")
     counted = (terms.select("doc_id", F.explode("terms").alias("term")).join(vocabulary, "term")
                .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
@@ -95,20 +102,17 @@ def postings_table(docs: DataFrame, query_terms: DataFrame, settings: SearchSett
     impact = (F.col("w") * F.expr(f"({TF_SCALE} * tf) DIV ({TF_BASE} * tf + {K1} * m)")).cast("long")
     scored = (counted.join(F.broadcast(df.select("term", weight.cast("long").alias("w"))), "term")
               .join(sizes, "doc_id").withColumn("m", m).select("doc_id", "term", impact.alias("impact")))
-    by_doc = W.partitionBy("doc_id")
-    norm = F.sqrt(F.sum(F.col("impact").cast("double") ** 2).over(by_doc))
-    band = F.floor(F.log2(norm) * BANDS_PER_OCTAVE).cast("long")
-    with_band = scored.withColumn("band", F.when(norm > 0, band).otherwise(F.lit(-(1 << 20))))
-    stored = write_once(with_band, "search-postings")
-    sizes_by_band = stored.groupBy("band").agg(F.countDistinct("doc_id").alias("docs"))
-    chunks = sizes_by_band.select("band", F.greatest(F.lit(1), F.ceil(F.col("docs") / settings.bucket_docs)).alias("chunks"))
-    bucket = F.col("band") * F.lit(1 << 24) + F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
-    # Upper edge of the band, raised by a relative 1e-9 against rounding of the stored length.
-    edge = F.pow(F.lit(2.0), (F.col("band") + 1) / BANDS_PER_OCTAVE) * (1.0 + 1e-9)
-    final = (stored.join(F.broadcast(chunks), "band")
-             .select("doc_id", "term", "impact", bucket.alias("bucket"), edge.alias("edge"))
-             .sortWithinPartitions(F.desc("edge")))
-    return write_once(final, "search-buckets")
+    ids = spark.createDataFrame(list(enumerate(sorted(r["term"] for r in query_terms.select("term").distinct().collect()))),
+                                "tid int, term string")   # bounded: the query vocabulary, at most MAX_QUERY_TERMS
+    forward = (scored.join(F.broadcast(ids), "term").groupBy("doc_id")
+               .agg(F.array_sort(F.collect_list(F.struct("tid", "impact"))).alias("entries")))
+    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda acc, e: acc + e["impact"].cast("double") ** 2))
+    band = F.when(norm > 0, F.floor(F.log2(norm) * BANDS_PER_OCTAVE)).otherwise(F.lit(-(1 << 20)))
+    # Upper edge of the bucket, raised by a relative 1e-9 against rounding of the computed length.
+    edge = F.pow(F.lit(2.0), (band + 1) / BANDS_PER_OCTAVE) * (1.0 + 1e-9)
+    rows = forward.select("doc_id", edge.alias("edge"), F.col("entries.tid").alias("tids"),
+                          F.col("entries.impact").alias("impacts"))
+    return write_once(rows.sortWithinPartitions(F.desc("edge")), "search-forward")
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -117,10 +121,71 @@ def item_terms(items: DataFrame) -> DataFrame:
             .where(F.col("item_id").isNotNull()).distinct())
 
 
-def _exact(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score) for documents that share a term with the item, in 64-bit integers."""
-    return (postings.join(queries, "term").groupBy("item_id", "doc_id").agg(F.sum("impact").alias("score"))
-            .where(F.col("score") > 0))
+def _item_lists(items: DataFrame, forward_ids: DataFrame) -> dict[int, np.ndarray]:
+    """Sorted term ids of each item; bounded by the query vocabulary, so it is broadcast."""
+    rows = items.join(F.broadcast(forward_ids), "term").groupBy("item_id").agg(F.array_sort(F.collect_list("tid")).alias("t"))
+    return {r["item_id"]: np.array(r["t"], np.int64) for r in rows.collect()}
+
+
+def _scorer(spark, lists: dict[int, np.ndarray]):
+    """mapInArrow function: (doc_id, tids, impacts, items) -> (item_id, doc_id, score) for score > 0.
+
+    ``items`` null means every item. A document's (tid, impact) pairs are sorted by tid, so an item's terms are
+    found by one binary search each over the slice's keys doc * V + tid.
+    """
+    shared = spark.sparkContext.broadcast(lists)
+
+    def run(batches):
+        lists = shared.value
+        every = np.array(sorted(lists), np.int64)
+        by_term: dict[int, list[int]] = {}
+        for item, terms in lists.items():
+            for t in terms.tolist():
+                by_term.setdefault(t, []).append(item)
+        width = 1 + max((int(t.max()) for t in lists.values() if len(t)), default=0)
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            tids, impacts = batch.column(1), batch.column(2)
+            counts = pc.list_value_length(tids).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), counts)
+            keys = owner * width + tids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = impacts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            wanted = batch.column(3)
+            pair_doc, pair_item = [], []
+            for row in range(batch.num_rows):
+                chosen = wanted[row]
+                if chosen.is_valid:
+                    items = np.array(chosen.as_py(), np.int64)
+                else:   # every item that shares a term with the document
+                    found = {i for t in tids[row].as_py() for i in by_term.get(t, ())}
+                    items = np.array(sorted(found), np.int64) if found else every[:0]
+                pair_doc.append(np.full(len(items), row, np.int64))
+                pair_item.append(items)
+            pair_doc = np.concatenate(pair_doc) if pair_doc else np.zeros(0, np.int64)
+            pair_item = np.concatenate(pair_item) if pair_item else np.zeros(0, np.int64)
+            sizes = np.array([len(lists.get(i, ())) for i in pair_item.tolist()], np.int64)
+            terms = np.concatenate([lists.get(i, every[:0]) for i in pair_item.tolist()]) if len(pair_item) else every[:0]
+            which = np.repeat(np.arange(len(pair_item)), sizes)
+            probe = pair_doc[which] * width + terms
+            at = np.minimum(np.searchsorted(keys, probe), max(len(keys) - 1, 0))
+            hit = (keys[at] == probe) if len(keys) else np.zeros(len(probe), bool)
+            score = np.zeros(len(pair_item), np.int64)
+            np.add.at(score, which[hit], values[at[hit]])
+            good = score > 0
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(pair_item[good]), "doc_id": pa.array(doc_ids[pair_doc[good]]),
+                                              "score": pa.array(score[good])})
+    return run
+
+
+def _exact(forward: DataFrame, pairs: DataFrame | None, run, limit: int) -> DataFrame:
+    """(item_id, doc_id, score > 0) of the given pairs (or, without pairs, of every item), in 64-bit integers."""
+    if pairs is None:
+        rows = forward.select("doc_id", "tids", "impacts", F.lit(None).cast("array<long>").alias("items"))
+    else:
+        grouped = pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
+        grouped = F.broadcast(grouped) if pairs.count() <= limit else grouped
+        rows = forward.join(grouped, "doc_id").select("doc_id", "tids", "impacts", "items")
+    return rows.mapInArrow(run, "item_id long, doc_id long, score long")
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -132,40 +197,58 @@ def search(docs: DataFrame, items: DataFrame, settings: SearchSettings = SearchS
     """The k best documents of every item; see the module docstring for the method and the defined cases."""
     spark = docs.sparkSession
     wanted = write_once(item_terms(items), "search-items")
-    postings = postings_table(docs, wanted, settings)
-    postings = postings.where(F.col("doc_id").isNotNull())
-    queries = _sized(wanted.join(postings.select("term").distinct(), "term", "left_semi"), MAX_QUERY_TERMS)
-    # 1. The longest bands, about seed_share of all documents, for every query. A document lies in one band, so
-    # the bands' counts add up; there are at most a few hundred bands (4 a factor of 2 of length).
-    bands = sorted(postings.groupBy("edge").agg(F.countDistinct("doc_id").alias("docs")).collect(), reverse=True)
-    if not bands:
-        empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-        return SearchResult(empty, postings.join(queries, "term"), postings.limit(0), postings.limit(0))
-    wanted_docs, seed_edge, taken = max(1.0, settings.seed_share * sum(b["docs"] for b in bands)), bands[0]["edge"], 0
-    for band in bands:
-        if taken >= wanted_docs:
+    forward = forward_index(docs, wanted).where(F.col("doc_id").isNotNull())
+    empty = spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    buckets = sorted(forward.groupBy("edge").count().collect(), reverse=True)
+    if not buckets:
+        return SearchResult(empty, empty.select("item_id", "doc_id"), empty.select("item_id", "doc_id"))
+    ids = spark.createDataFrame(list(enumerate(sorted(r["term"] for r in wanted.select("term").distinct().collect()))),
+                                "tid int, term string")
+    lists = _item_lists(wanted, ids)
+    run = _scorer(spark, lists)
+    queries = _sized(wanted.join(F.broadcast(ids), "term").select("item_id", "tid"), MAX_QUERY_TERMS)
+    norms = spark.createDataFrame([(i, float(np.sqrt(len(t)))) for i, t in lists.items()], "item_id long, q_norm double")
+    # Buckets by length, longest first; a document lies in one, so their counts add up. There are at most a few
+    # hundred buckets (4 for each factor of 2 of length), whatever the size of the corpus.
+    seed_edge, taken = buckets[0]["edge"], 0
+    for bucket in buckets:
+        if taken >= settings.seed_docs:
             break
-        seed_edge, taken = band["edge"], taken + band["docs"]
-    seed = postings.where(F.col("edge") >= seed_edge)
-    first = write_once(_best(_exact(seed, queries), settings.k), "search-seed")
+        seed_edge, taken = bucket["edge"], taken + bucket["count"]
+    # 1. The first buckets, exactly, for every query that shares a term with them.
+    seed = forward.where(F.col("edge") >= seed_edge)
+    first = write_once(_best(_exact(seed, None, run, settings.max_broadcast), settings.k), "search-seed")
     theta = (first.groupBy("item_id").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
              .select("item_id", F.when(F.col("found") >= settings.k, F.col("kth")).otherwise(F.lit(1)).alias("theta")))
-    q_norm = queries.groupBy("item_id").agg(F.sqrt(F.count("*")).alias("q_norm"))
-    limits = F.broadcast(q_norm.join(theta, "item_id", "left").fillna({"theta": 1}))
-    # 2. Cauchy-Schwarz: a band whose upper edge times |q| is below theta is skipped; the smallest such edge over
-    # all queries goes to the scan as a filter, so row groups of short vectors are not read at all.
+    limits = norms.join(theta, "item_id", "left").select("item_id", "q_norm", F.coalesce("theta", F.lit(1)).alias("theta"))
+    # 2. Cauchy-Schwarz skips buckets; the smallest edge any query needs goes to the scan as a filter.
     lowest = limits.agg(F.min(F.col("theta") / F.col("q_norm"))).first()[0]
-    rest = postings.where((F.col("edge") < seed_edge) & (F.col("edge") >= lowest))
-    candidates = (rest.join(queries, "term").join(limits, "item_id")
-                  .where(F.col("q_norm") * F.col("edge") >= F.col("theta")))
-    # Coordinate bounds: the sum over the query's terms of the bucket's largest impact for that term.
-    peaks = rest.groupBy("bucket", "term").agg(F.max("impact").alias("peak"))
-    coordinate = (peaks.join(queries, "term").groupBy("item_id", "bucket").agg(F.sum("peak").alias("bound"))
-                  .join(limits, "item_id").where(F.col("bound") >= F.col("theta")).select("item_id", "bucket"))
-    survivors = write_once(candidates.join(coordinate, ["item_id", "bucket"], "left_semi")
-                           .select("item_id", "doc_id", "impact"), "search-survivors")
-    # 3. Exact rescoring of what survived, together with the seed's best.
-    second = survivors.groupBy("item_id", "doc_id").agg(F.sum("impact").alias("score")).where(F.col("score") > 0)
+    rest = forward.where((F.col("edge") < seed_edge) & (F.col("edge") >= lowest))
+    entries = rest.select("doc_id", "edge", F.explode(F.arrays_zip("tids", "impacts")).alias("e")).select(
+        "doc_id", "edge", F.col("e.tids").alias("tid"), F.col("e.impacts").alias("impact"))
+    peaks = entries.groupBy("edge", "tid").agg(F.max("impact").alias("peak"))
+    by_bound = W.partitionBy("item_id", "edge").orderBy("peak", "tid").rowsBetween(W.unboundedPreceding, 0)
+    essential = (peaks.join(queries, "tid").join(F.broadcast(limits), "item_id")
+                 .where(F.col("q_norm") * F.col("edge") >= F.col("theta"))
+                 .withColumn("below", F.sum("peak").over(by_bound))
+                 .where(F.col("below") >= F.col("theta")).select("item_id", "edge", "tid"))
+    essential = write_once(essential, "search-essential")
+    candidates = write_once(entries.join(_sized(essential, settings.max_broadcast), ["edge", "tid"])
+                            .select("item_id", "doc_id").distinct(), "search-candidates")
+    # 3. Exact rescoring of the candidates, together with the first buckets' best.
+    second = _exact(rest, candidates, run, settings.max_broadcast)
     ranked = _best(first.select("item_id", "doc_id", "score").unionByName(second), settings.k)
-    return SearchResult(ranked.select("item_id", "rank", "doc_id", "score"), postings.join(queries, "term"),
-                        seed.join(queries, "term"), survivors)
+    everything = _exact(forward, None, run, settings.max_broadcast).select("item_id", "doc_id")
+    seeded = _exact(seed, None, run, settings.max_broadcast).select("item_id", "doc_id")
+    return SearchResult(ranked.select("item_id", "rank", "doc_id", "score"), everything, seeded.unionByName(candidates))
+
+
+def brute_force(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """Every document scored against every item from the forward index, no pruning: the reference for tests."""
+    spark = docs.sparkSession
+    wanted = item_terms(items)
+    forward = forward_index(docs, wanted).where(F.col("doc_id").isNotNull())
+    ids = spark.createDataFrame(list(enumerate(sorted(r["term"] for r in wanted.select("term").distinct().collect()))),
+                                "tid int, term string")
+    run = _scorer(spark, _item_lists(wanted, ids))
+    return _best(_exact(forward, None, run, 0), k).select("item_id", "rank", "doc_id", "score")
