@@ -26,6 +26,7 @@ as given. Very long texts are encoded whole. Other columns are not read. An empt
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,12 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.arrow_text import ragged, slices
+from pairsight.llm.arrow_text import binary_rows, ragged, slices
 from pairsight.plans.shared import write_once
 
 SLICE_BYTES = 1 << 20   # text encoded in one call of each library; bounds a task's memory beside the longest text
-PASS_SCHEMA = ("kind int, row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
-               "ident array<int>, a int, b int, mult long")
+PASS_SCHEMA = ("kind int, row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
+               "groups_sha256 string, ident binary, a int, b int, mult long")
 DOC, PAIR, IDENTITY = 0, 1, 2
 
 
@@ -230,12 +231,12 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 key += n
                 ident_a, ident_doc = found["ident"]
                 counted += np.bincount(ident_a, minlength=size_a)
-                order = np.argsort(ident_doc, kind="stable")
-                ident_lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(np.bincount(ident_doc, minlength=n)))), pa.int32()),
-                    pa.array(ident_a[order].astype(np.int32)))
+                # A document's identity links as its sorted A ids, two bytes each (A's ids are below 2^16).
+                order = np.lexsort((ident_a, ident_doc))
+                ident = binary_rows(ident_a[order].astype("<u2"), np.bincount(ident_doc, minlength=n))
+                digests = [hashlib.sha256(g.encode()).hexdigest() if k else "" for g, k in zip(found["groups"], found["n_a"])]
                 yield _batch(DOC, keys, part.column(0), n_a=found["n_a"], n_b=found["n_b"], n_groups=found["n_groups"],
-                             n_links=found["n_links"], groups=found["groups"], ident=ident_lists)
+                             n_links=found["n_links"], groups_sha256=digests, ident=ident)
                 pa_, pb_, pd_ = found["irregular"]
                 if len(pa_):
                     code, mult = np.unique((pd_ * vocab.sizes[0] + pa_) * vocab.sizes[1] + pb_, return_counts=True)
@@ -249,8 +250,8 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return narrow.mapInArrow(run, PASS_SCHEMA)
 
 
-_TYPES = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups": pa.string(),
-          "ident": pa.list_(pa.int32()), "a": pa.int32(), "b": pa.int32(), "mult": pa.int64()}
+_TYPES = {"n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string(),
+          "ident": pa.binary(), "a": pa.int32(), "b": pa.int32(), "mult": pa.int64()}
 
 
 def _batch(kind: int, keys: np.ndarray, doc_ids: pa.Array, **columns) -> pa.RecordBatch:
@@ -265,7 +266,8 @@ def _batch(kind: int, keys: np.ndarray, doc_ids: pa.Array, **columns) -> pa.Reco
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (the text the digest hashes)."""
+    """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (of the groups text,
+    '' without tokens). The groups text is hashed inside the task; only its digest is stored."""
     spark = docs.sparkSession
     vocab = read_vocabularies(a_path, b_path)
     size_a, size_b = vocab.sizes
@@ -293,9 +295,9 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full, top, ident_map = shared.value
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+            blobs = [b or b"" for b in batch.column(1).to_pylist()]
+            flat = np.frombuffer(b"".join(blobs), "<u2").astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), [len(b) // 2 for b in blobs])
             counts = full[flat]
             yield pa.RecordBatch.from_pydict({
                 "row_key": batch.column(0),
@@ -312,4 +314,4 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return (documents.join(identity_part, "row_key").join(irregular_part, "row_key", "left")
             .select("doc_id", "n_a", "n_b", "n_groups", "n_links",
                     (F.col("id_best") + F.coalesce("ir_best", F.lit(0))).cast("long").alias("n_best"),
-                    (F.col("id_sum") + F.coalesce("ir_sum", F.lit(0))).cast("long").alias("count_sum"), "groups"))
+                    (F.col("id_sum") + F.coalesce("ir_sum", F.lit(0))).cast("long").alias("count_sum"), "groups_sha256"))
