@@ -19,7 +19,7 @@ links are looked up in vocabulary-length vectors, which are bounded and broadcas
 counts in a join.
 
 Defined cases: null or empty text, and texts whose joined A or B token bytes differ from " " + text (B's
-normalisation may change spaces or characters), have no tokens: all counts 0 and ``groups`` ''. Every row is a
+normalisation may change spaces or characters), have no tokens: all counts 0 and ``groups_sha256`` ''. Every row is a
 document of its own, repeated rows and repeated or null doc_ids included; each has one output row, with its doc_id
 as given. Very long texts are encoded whole. Other columns are not read. An empty table gives an empty table.
 """
@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,7 +126,7 @@ def _tools(a_path: str, b_path: str):
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([len(x) for x in lists], np.int64)
-    ids = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
+    ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
     return ids, np.concatenate(([0], np.cumsum(counts)))
 
 
@@ -161,13 +162,25 @@ def align_slice(texts: list[str], a_tok, b_tok, vocab: Vocabularies, flat_a: _Fl
     base = np.concatenate(([0], np.cumsum(np.where(good, sizes, 0))))
     a_end = base[a_doc] + _local_ends(a_len, a_doc)
     b_end = base[b_doc] + _local_ends(b_len, b_doc)
-    cuts = np.intersect1d(a_end, b_end, assume_unique=True)
-    pieces = np.union1d(a_end, b_end)                       # one link each
-    link_a = a_ids[np.searchsorted(a_end, pieces)]
-    link_b = b_ids[np.searchsorted(b_end, pieces)]
-    link_group = np.searchsorted(cuts, pieces)
-    group_a = np.bincount(np.searchsorted(cuts, a_end), minlength=len(cuts))
-    group_b = np.bincount(np.searchsorted(cuts, b_end), minlength=len(cuts))
+    # Each side's ends are sorted and distinct, so one stable merge of the two yields the pieces (distinct ends, one
+    # link each), the cuts (ends of both sides) and, by running counts, every token and group index in linear time.
+    order = np.argsort(np.concatenate((a_end, b_end)), kind="stable")
+    ends, from_a = np.concatenate((a_end, b_end))[order], order < len(a_end)
+    first = np.ones(len(ends), bool)
+    first[1:] = ends[1:] != ends[:-1]                       # an A end shared with B comes first, then B's copy
+    shared = np.zeros(len(ends), bool)
+    shared[:-1] = ~first[1:]
+    a_before = np.cumsum(from_a) - from_a                   # A ends below this position's end
+    b_before = np.arange(len(ends)) - a_before              # B ends below it, where an end comes first
+    cuts_before = np.cumsum(shared) - shared - ~first       # cuts below it
+    pieces, is_cut = ends[first], shared[first]
+    cuts = pieces[is_cut]
+    link_a = a_ids[a_before[first]]
+    link_b = b_ids[b_before[first]]
+    link_group = cuts_before[first]
+    a_group, b_group = cuts_before[from_a], cuts_before[~from_a]
+    group_a = np.bincount(a_group, minlength=len(cuts))
+    group_b = np.bincount(b_group, minlength=len(cuts))
     one_one = (group_a == 1) & (group_b == 1)
     regular = one_one[link_group] & (vocab.identity[link_a] == link_b)
     group_doc = np.searchsorted(base, cuts, side="left") - 1
@@ -175,7 +188,7 @@ def align_slice(texts: list[str], a_tok, b_tok, vocab: Vocabularies, flat_a: _Fl
     return {
         "good": good, "n_a": _per_doc(None, a_doc, n), "n_b": _per_doc(None, b_doc, n),
         "n_groups": _per_doc(None, group_doc, n), "n_links": _per_doc(None, link_doc, n),
-        "groups": _group_texts(a_ids, b_ids, np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end), group_doc, n),
+        "groups_sha256": _group_digests(a_ids, b_ids, a_group, b_group, group_doc, n),
         "ident": (link_a[regular], link_doc[regular]),
         "irregular": (link_a[~regular], link_b[~regular], link_doc[~regular]),
     }
@@ -188,26 +201,36 @@ def _local_ends(lengths: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return total - before
 
 
-def _group_texts(a_ids, b_ids, a_group, b_group, group_doc, n: int) -> list[str]:
-    """`a1,a2|b1;a3|b2,b3` of each text: decimal ids, A then B within a group, groups in order."""
+def _group_digests(a_ids, b_ids, a_group, b_group, group_doc, n: int) -> list[str]:
+    """sha256 (lowercase hex) of `a1,a2|b1;a3|b2,b3` of each text: decimal ids, A then B within a group, groups in
+    order; '' for a text without groups. The texts are laid out as one byte buffer: each id's digits, then its
+    separator byte, if any."""
     ids = np.concatenate((a_ids, b_ids))
     group = np.concatenate((a_group, b_group))
     side = np.concatenate((np.zeros(len(a_ids), np.int64), np.ones(len(b_ids), np.int64)))
-    order = np.lexsort((side, group))       # stable: tokens keep their order within a side
+    order = np.argsort(group * 2 + side, kind="stable")     # two sorted runs merged; tokens keep their order
     ids, group, side = ids[order], group[order], side[order]
     last_of_side = np.ones(len(ids), bool)
     last_of_side[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
     last_of_group = np.ones(len(ids), bool)
     last_of_group[:-1] = group[1:] != group[:-1]
-    sep = np.where(~last_of_side, ",", np.where(side == 0, "|", ";")).astype(object)
     doc = group_doc[group] if len(group) else np.zeros(0, np.int64)
     last_of_doc = np.ones(len(ids), bool)
     last_of_doc[:-1] = doc[1:] != doc[:-1]
-    sep[last_of_group & last_of_doc] = ""
-    parts = pc.binary_join_element_wise(pa.array(ids.astype(np.int64)).cast(pa.string()), pa.array(sep, pa.string()), "")
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts), "")
-    return joined.to_pylist()
+    has_sep = ~(last_of_group & last_of_doc)
+    sep = np.where(~last_of_side, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
+    digits = pa.array(ids.astype(np.int64)).cast(pa.string())
+    digit_off = np.frombuffer(digits.buffers()[1], np.int32, len(ids) + 1).astype(np.int64)
+    digit_len = np.diff(digit_off)
+    out_len = digit_len + has_sep
+    out_off = np.concatenate(([0], np.cumsum(out_len)))
+    buf = np.empty(int(out_off[-1]), np.uint8)
+    if len(ids):
+        buf[ragged(out_off[:-1], digit_len)] = np.frombuffer(digits.buffers()[2], np.uint8, int(digit_off[-1]))
+        buf[(out_off[:-1] + digit_len)[has_sep]] = sep[has_sep]
+    bounds = out_off[np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))]
+    raw = memoryview(buf.tobytes())
+    return [hashlib.sha256(raw[lo:hi]).hexdigest() if hi > lo else "" for lo, hi in zip(bounds[:-1], bounds[1:])]
 
 
 def first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -234,9 +257,8 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 # A document's identity links as its sorted A ids, two bytes each (A's ids are below 2^16).
                 order = np.lexsort((ident_a, ident_doc))
                 ident = binary_rows(ident_a[order].astype("<u2"), np.bincount(ident_doc, minlength=n))
-                digests = [hashlib.sha256(g.encode()).hexdigest() if k else "" for g, k in zip(found["groups"], found["n_a"])]
                 yield _batch(DOC, keys, part.column(0), n_a=found["n_a"], n_b=found["n_b"], n_groups=found["n_groups"],
-                             n_links=found["n_links"], groups_sha256=digests, ident=ident)
+                             n_links=found["n_links"], groups_sha256=found["groups_sha256"], ident=ident)
                 pa_, pb_, pd_ = found["irregular"]
                 if len(pa_):
                     code, mult = np.unique((pd_ * vocab.sizes[0] + pa_) * vocab.sizes[1] + pb_, return_counts=True)
