@@ -58,3 +58,87 @@ def test_alignment_awkward_rows(spark):
     zero = {r["doc_id"] for r in rows if r["n_a"] == 0}
     assert {0, 1} <= zero                                      # empty and null texts have no tokens
     assert token_alignment.align(docs.limit(0), _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model")).count() == 0
+
+
+def _byte_level_alphabet() -> dict[str, int]:
+    """Printable stand-in character -> byte, the byte-level BPE convention, written out for the test."""
+    kept = list(range(ord("!"), ord("~") + 1)) + list(range(ord("¡"), ord("¬") + 1)) + list(range(ord("®"), ord("ÿ") + 1))
+    moved = [b for b in range(256) if b not in kept]
+    return {**{chr(b): b for b in kept}, **{chr(256 + k): b for k, b in enumerate(moved)}}
+
+
+def _brute_alignment(rows, a_path, b_path):
+    """Tokens encoded one text at a time, links found by overlapping byte ranges, counters over the corpus."""
+    import bisect
+    import hashlib
+    import re
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_tok = Tokenizer.from_file(a_path)
+    a_tok.encode_special_tokens = True
+    b_tok = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    alphabet = _byte_level_alphabet()
+
+    def a_bytes(i):
+        return bytes(alphabet[c] for c in a_tok.id_to_token(i))
+
+    def b_bytes(i):
+        piece = b_tok.id_to_piece(i)
+        hexed = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
+        return bytes([int(hexed[1], 16)]) if hexed else piece.replace("▁", " ").encode()
+
+    def ranges(parts):
+        out, at = [], 0
+        for p in parts:
+            out.append((at, at + len(p)))
+            at += len(p)
+        return out
+
+    docs, pairs = [], Counter()
+    for doc_id, text in rows:
+        target = (" " + (text or "")).encode()
+        a = a_tok.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        b = b_tok.encode(text) if text else []
+        ra, rb = ranges([a_bytes(i) for i in a]), ranges([b_bytes(i) for i in b])
+        if not text or b"".join(a_bytes(i) for i in a) != target or b"".join(b_bytes(i) for i in b) != target:
+            docs.append((doc_id, [], [], [], []))
+            continue
+        b_starts, b_ends = [s for s, _ in rb], [e for _, e in rb]
+        links = [(a[i], b[j]) for i, (s, e) in enumerate(ra)
+                 for j in range(bisect.bisect_right(b_ends, s), bisect.bisect_left(b_starts, e))]
+        pairs.update(links)
+        cuts = sorted({e for _, e in ra} & set(b_ends))
+        groups = [([], []) for _ in cuts]
+        for side, ids, rng in ((0, a, ra), (1, b, rb)):
+            for i, (_, e) in zip(ids, rng):
+                groups[bisect.bisect_left(cuts, e)][side].append(i)
+        text_ = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
+        docs.append((doc_id, a, b, groups, links, hashlib.sha256(text_.encode()).hexdigest()))
+    best = Counter()
+    for (ia, ib), c in pairs.items():
+        best[ib] = max(best[ib], c)
+    out = []
+    for d in docs:
+        if not d[1]:
+            out.append((d[0], 0, 0, 0, 0, 0, 0, ""))
+            continue
+        doc_id, a, b, groups, links, digest = d
+        out.append((doc_id, len(a), len(b), len(groups), len(links), sum(pairs[l] == best[l[1]] for l in links),
+                    sum(pairs[l] for l in links), digest))
+    return out
+
+
+def test_alignment_against_brute_force(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rows = [(r["doc_id"], r["text"]) for r in table] + AWKWARD
+    a_path, b_path = _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model")
+    got = token_alignment.align(documents(spark, rows, partitions=4), a_path, b_path).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(_brute_alignment(rows, a_path, b_path), key=key)
+    assert sorted((tuple(r) for r in got), key=key) == want
+    assert sum(r[1] > 0 for r in want) > len(table) // 2
