@@ -43,17 +43,30 @@ SKETCH = 64              # names kept in a fingerprint
 ROUNDS = 4               # coin-tossing rounds: 64-bit labels -> below 6
 RUN_SALT = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
+MARGIN = 2               # multiple of a sketch that is sorted of each document's names
 SLICE_CHARS = 1 << 20    # code points parsed together; a longer text is a slice of its own
 DONE, TAIL, HEAD = 0, 1, 2
 WALK_SCHEMA = ("kind int, part int, doc_id long, n_chars long, text string, edited_sha256 string, names array<long>, "
-               "edited_names array<long>, near_edited double, near_next double")
+               "kept long, added array<long>, near_edited double, near_next double")
 RESULT_SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, names array<long>, edited_names array<long>, "
                  "near_edited double, near_next double")
 
 
 def _lowest_bit(d: np.ndarray) -> np.ndarray:
     low = d & (~d + np.uint64(1))
-    return np.log2(low.astype(np.float64)).astype(np.uint64)   # exact: low is a power of two
+    return (low.astype(np.float64).view(np.uint64) >> np.uint64(52)) - np.uint64(1023)   # exact: low is a power of two
+
+
+def _toss_table() -> np.ndarray:
+    """Next label of every (left, own) pair of labels below 128, at left * 128 + own."""
+    left, own = np.divmod(np.arange(1 << 14, dtype=np.uint64), np.uint64(128))
+    differ = left ^ own
+    differ[differ == 0] = 1          # only after a hash collision
+    j = _lowest_bit(differ)
+    return (np.uint64(2) * j + ((own >> j) & np.uint64(1))).astype(np.uint8)
+
+
+TOSS = _toss_table()                 # the first round's labels are below 128, so later rounds look theirs up
 
 
 def _level(x: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,15 +77,18 @@ def _level(x: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     run_len = np.diff(np.append(run_start, len(x))).astype(np.uint64)
     sym, rdoc, rfirst = x[run_start], doc[run_start], first[run_start]
     meta = np.where(run_len > 1, mix64(sym ^ mix64(run_len + RUN_SALT)), sym)
-    label = meta
-    for _ in range(ROUNDS):
-        left = np.empty_like(label)
-        left[1:] = label[:-1]
-        left[rfirst] = label[rfirst] ^ np.uint64(1)
-        differ = label ^ left
-        differ[differ == 0] = 1      # only after a hash collision
-        j = _lowest_bit(differ)
-        label = np.uint64(2) * j + ((label >> j) & np.uint64(1))
+    left = np.empty_like(meta)
+    left[1:] = meta[:-1]
+    left[rfirst] = meta[rfirst] ^ np.uint64(1)
+    differ = meta ^ left
+    differ[differ == 0] = 1          # only after a hash collision
+    j = _lowest_bit(differ)
+    label = (np.uint64(2) * j + ((meta >> j) & np.uint64(1))).astype(np.uint8)
+    for _ in range(ROUNDS - 1):
+        before = np.empty(len(label), np.uint16)
+        before[1:] = label[:-1]
+        before[rfirst] = label[rfirst] ^ np.uint8(1)
+        label = TOSS[before << np.uint16(7) | label]
     m = len(label)
     last = np.ones(m, bool)
     last[:-1] = rfirst[1:]
@@ -83,8 +99,7 @@ def _level(x: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     start = rfirst | (~rfirst & above_left & (last | above_right))
     block_start = np.flatnonzero(start)
     block_len = np.diff(np.append(block_start, m))
-    owner = np.repeat(np.arange(len(block_start)), block_len)
-    position = np.arange(m) - block_start[owner]
+    position = np.arange(m) - np.repeat(block_start, block_len)
     powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(block_len.max()) - 1, BASE, np.uint64))), dtype=np.uint64)
     total = np.add.reduceat(meta * powers[position], block_start)
     names = mix64(total ^ mix64(block_len.astype(np.uint64)))
@@ -113,13 +128,37 @@ def phrase_names(texts: list[str], sketch: int = SKETCH) -> list[np.ndarray]:
         return [np.zeros(0, np.int64) for _ in range(n)]
     names = np.concatenate(found_names).view(np.int64)
     docs = np.concatenate(found_docs)
-    order = np.lexsort((names, docs))
+    # Names are hashes, so about MARGIN * sketch names of a document lie below that share of the range of names. Only
+    # these are sorted; a document that has fewer than ``sketch`` distinct ones among them (repetitive texts) is
+    # sorted whole.
+    sizes = np.bincount(docs, minlength=n)
+    share = np.minimum(MARGIN * sketch / np.maximum(sizes, 1), 1.0)
+    limit = np.where(share < 1, (share * 2.0 ** 64 - 2.0 ** 63).clip(-2.0 ** 63, 2.0 ** 63 - 1025), 0).astype(np.int64)
+    limit[share >= 1] = np.iinfo(np.int64).max
+    low = names <= limit[docs]
+    picked, picked_docs = _distinct(names[low], docs[low])
+    short = (np.bincount(picked_docs, minlength=n) < sketch) & (share < 1)
+    if short.any():
+        keep, whole = ~short[picked_docs], short[docs]
+        rest, rest_docs = _distinct(names[whole], docs[whole])
+        picked, picked_docs = np.concatenate((picked[keep], rest)), np.concatenate((picked_docs[keep], rest_docs))
+        order = np.argsort(picked_docs, kind="stable")
+        picked, picked_docs = picked[order], picked_docs[order]
+    starts = np.searchsorted(picked_docs, np.arange(n + 1))
+    return [picked[starts[i]:min(starts[i + 1], starts[i] + sketch)] for i in range(n)]
+
+
+def _distinct(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (document, name) pairs in ascending order."""
+    order = np.argsort(names)
     names, docs = names[order], docs[order]
+    if len(docs) and docs.max() < 1 << 16:
+        docs = docs.astype(np.uint16)          # numpy sorts 16-bit integers by radix
+    order = np.argsort(docs, kind="stable")
+    names, docs = names[order], docs[order].astype(np.int64)
     fresh = np.ones(len(names), bool)
     fresh[1:] = (names[1:] != names[:-1]) | (docs[1:] != docs[:-1])
-    names, docs = names[fresh], docs[fresh]
-    starts = np.searchsorted(docs, np.arange(n + 1))
-    return [names[starts[i]:min(starts[i + 1], starts[i] + sketch)] for i in range(n)]
+    return names[fresh], docs[fresh]
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
@@ -130,6 +169,22 @@ def likeness(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
     return float(np.isin(lowest, np.intersect1d(a, b)).sum() / len(lowest))
 
 
+def likeness_rows(a: list[np.ndarray], b: list[np.ndarray], sketch: int = SKETCH) -> np.ndarray:
+    """``likeness`` of each pair of fingerprints."""
+    n, width = len(a), max((len(x) + len(y) for x, y in zip(a, b)), default=0)
+    laid = np.full((n, width + 1), np.iinfo(np.int64).max)
+    sizes = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
+    laid[np.arange(width + 1) < sizes[:, None]] = np.concatenate([v for pair in zip(a, b) for v in pair] or [np.zeros(0, np.int64)])
+    laid.sort(axis=1)
+    inside = np.arange(width) < sizes[:, None]
+    twice = (laid[:, 1:] == laid[:, :-1]) & (np.arange(1, width + 1) < sizes[:, None])   # a name of both, at its first place
+    fresh = inside.copy()
+    fresh[:, 1:] &= ~twice[:, :-1]
+    lowest = fresh & (np.cumsum(fresh, axis=1) <= sketch)
+    total = lowest.sum(axis=1)
+    return np.where(total > 0, (lowest & twice).sum(axis=1) / np.maximum(total, 1), 1.0)
+
+
 def likeness_column(a: Column, b: Column, sketch: int = SKETCH) -> Column:
     lowest = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
     both = F.size(F.array_intersect(lowest, F.array_intersect(a, b)))
@@ -165,7 +220,6 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     carry = None                      # the last row seen, waiting for its follower
     head_sent = False
-    names_list = pa.list_(pa.int64())
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -187,21 +241,43 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _finished(rows: list[tuple], followers: list[tuple]) -> list[tuple]:
     """(doc_id, n_chars, None, edited_sha256, names, edited_names, near_edited, near_next) of rows whose follower is known."""
     edited = [_edited(text, follower[1]) for (_, text, _), follower in zip(rows, followers)]
-    out = []
-    for (doc_id, text, own), follower, changed, changed_names in zip(rows, followers, edited, _names_of(edited)):
-        out.append((doc_id, len(text), None, hashlib.sha256(changed.encode()).hexdigest(), own, changed_names,
-                    likeness(own, changed_names), likeness(own, follower[2])))
-    return out
+    own, changed = [r[2] for r in rows], _names_of(edited)
+    near_edited, near_next = likeness_rows(own, changed), likeness_rows(own, [f[2] for f in followers])
+    return [(doc_id, len(text), None, hashlib.sha256(new.encode()).hexdigest(), names, new_names, near, following)
+            for (doc_id, text, names), new, new_names, near, following in zip(rows, edited, changed, near_edited, near_next)]
+
+
+def _change(own: np.ndarray, changed: np.ndarray) -> tuple[int, np.ndarray]:
+    """A fingerprint as its difference from another: which of the other's names it keeps (bit i: name i), and its own ones."""
+    if not len(own) or not len(changed):
+        return 0, changed
+    at = np.minimum(changed.searchsorted(own), len(changed) - 1)
+    hit = changed[at] == own
+    new = np.ones(len(changed), bool)
+    new[at[hit]] = False
+    return int.from_bytes(np.packbits(hit, bitorder="little").tobytes().ljust(8, b"\0"), "little", signed=True), changed[new]
+
+
+def _changed(names: Column, kept: Column, added: Column) -> Column:
+    """The fingerprint that ``_change`` split."""
+    return F.array_sort(F.concat(F.filter(names, lambda x, i: F.getbit(kept, i) == 1), added))
+
+
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    rows = [np.zeros(0, np.int64) if r is None else r for r in rows]
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
 
 
 def _rows(part: int, out: list[tuple]) -> pa.RecordBatch:
     kind, doc_id, n_chars, text, digest, own, changed, near_edited, near_next = (list(c) for c in zip(*out))
-    names_list = pa.list_(pa.int64())
+    # The edited text shares most of its phrases with its document, so only what differs is stored.
+    kept, added = zip(*((0, None) if new is None else _change(old, new) for old, new in zip(own, changed)))
     return pa.RecordBatch.from_pydict({
         "kind": pa.array(kind, pa.int32()), "part": pa.array([part] * len(out), pa.int32()),
         "doc_id": pa.array(doc_id, pa.int64()), "n_chars": pa.array(n_chars, pa.int64()), "text": pa.array(text, pa.string()),
-        "edited_sha256": pa.array(digest, pa.string()), "names": pa.array(own, names_list),
-        "edited_names": pa.array(changed, names_list), "near_edited": pa.array(near_edited, pa.float64()),
+        "edited_sha256": pa.array(digest, pa.string()), "names": _lists(own), "kept": pa.array(kept, pa.int64()),
+        "added": _lists(added), "near_edited": pa.array(near_edited, pa.float64()),
         "near_next": pa.array(near_next, pa.float64())})
 
 
@@ -214,11 +290,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         followers = list(zip(column(0), [t or "" for t in column(3)], as_names(column(4))))
         done = _finished(rows, followers)
         doc_id, n_chars, _, digest, own, changed, near_edited, near_next = (list(c) for c in zip(*done)) if done else [[]] * 8
-        names_list = pa.list_(pa.int64())
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.array(doc_id, pa.int64()), "n_chars": pa.array(n_chars, pa.int64()),
-            "edited_sha256": pa.array(digest, pa.string()), "names": pa.array(own, names_list),
-            "edited_names": pa.array(changed, names_list), "near_edited": pa.array(near_edited, pa.float64()),
+            "edited_sha256": pa.array(digest, pa.string()), "names": _lists(own), "edited_names": _lists(changed), "near_edited": pa.array(near_edited, pa.float64()),
             "near_next": pa.array(near_next, pa.float64())})
 
 
@@ -241,7 +315,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                                                        F.col("names").alias("next_names"))
     tails = (walked.where(F.col("kind") == TAIL).join(F.broadcast(following), "part").join(heads, "head")
              .select("doc_id", "text", "names", "next_text", "next_names").mapInArrow(_resolve, RESULT_SCHEMA))
-    done = walked.where(F.col("kind") == DONE).select(*[c.split()[0] for c in RESULT_SCHEMA.split(", ")])
+    restored = walked.withColumn("edited_names", _changed(F.col("names"), F.col("kept"), F.col("added")))
+    done = restored.where(F.col("kind") == DONE).select(*[c.split()[0] for c in RESULT_SCHEMA.split(", ")])
     return done.unionByName(tails)
 
 

@@ -3,7 +3,10 @@ rows, other columns with clashing names, empty tables."""
 
 from __future__ import annotations
 
-from llm.cases import AWKWARD, documents
+import hashlib
+import random
+
+from llm.cases import AWKWARD, documents, prose
 
 from pairsight.llm import fingerprints, lexical_search, token_alignment
 
@@ -46,6 +49,37 @@ def test_fingerprints_awkward_rows(spark):
     assert fingerprints.fingerprint_table(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_store_and_sort_only_what_they_need(spark, monkeypatch):
+    """Only names below a document's limit are sorted, repetitive texts whole; the edited fingerprint is stored as its
+    difference from the document's and comes back whole."""
+    draw = random.Random(5)
+    texts = [prose(i, 400, 5000) for i in range(30)] + ["ab" * 2000, "a" * 500, "", "xyz" * 900, "é" + "".join(
+        draw.choice("ab") for _ in range(4000))] + [t or "" for _, t in AWKWARD]
+    sorted_names, distinct = [], fingerprints._distinct
+    monkeypatch.setattr(fingerprints, "_distinct", lambda names, docs: sorted_names.append(len(names)) or distinct(names, docs))
+    long = [t for t in texts if len(t) > 1500]
+    got = fingerprints.phrase_names(long[:30])
+    assert sum(sorted_names) < sum(len(t) for t in long[:30]) // 5
+    monkeypatch.undo()
+    monkeypatch.setattr(fingerprints, "MARGIN", 10 ** 9)      # every name sorted
+    whole = fingerprints.phrase_names(texts)
+    monkeypatch.undo()
+    assert [a.tolist() for a in fingerprints.phrase_names(texts)] == [a.tolist() for a in whole]
+    assert [a.tolist() for a in got] == [a.tolist() for t, a in zip(texts, whole) if len(t) > 1500][:30]
+    near = fingerprints.likeness_rows(whole[:-1], whole[1:])
+    assert near.tolist() == [fingerprints.likeness(a, b) for a, b in zip(whole, whole[1:])]
+    docs = documents(spark, list(enumerate(texts)), 4)
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint(docs).collect()}
+    for i, text in enumerate(texts):
+        following = texts[i - 1]                              # descending doc_id; the last row's next is the first
+        cut = len(text) // 3
+        edited = text[:len(text) - cut] + following[:cut]
+        assert rows[i]["names"] == whole[i].tolist()
+        assert rows[i]["edited_names"] == fingerprints.phrase_names([edited])[0].tolist()
+        assert rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert "edited_names" not in fingerprints.WALK_SCHEMA     # stored before: both fingerprints in full
+
+
 def test_alignment_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     rows = token_alignment.align(docs, _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model")).collect()
