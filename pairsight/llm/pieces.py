@@ -8,6 +8,7 @@ full stop is a piece of its own. The ids equal those of the whole text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after the other, and each list's length."""
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((t for x in lists for t in x), np.uint32, int(lengths.sum())), lengths
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
 
 
 class PieceCache:

@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,13 +37,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.arrow_text import binary_rows, ragged, slices
+from pairsight.llm.arrow_text import as_text, binary_rows, parts_of, ragged, slices
+from pairsight.llm.pieces import PieceCache, encode_texts, flat_lists, tokenizer_pieces, without_threads
 from pairsight.plans.shared import write_once
 
 SLICE_BYTES = 1 << 20   # text encoded in one call of each library; bounds a task's memory beside the longest text
 PASS_SCHEMA = ("kind int, row_key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
                "groups_sha256 string, ident binary, a int, b int, mult long")
 DOC, PAIR, IDENTITY = 0, 1, 2
+KEPT_PIECES = 150_000   # distinct pieces kept for each side; a task also holds both libraries and a slice's arrays
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -104,52 +105,84 @@ class _Flat:
         return self.data[ragged(self.starts[ids], self.lengths[ids])]
 
 
+class WordPieces:
+    """Encodes texts with a sentencepiece BPE model, each distinct word once.
+
+    A text is cut before each single space. If the model leaves text as it is and has no piece with a space after
+    another character, no merge crosses such a cut, and a word's ids are those of the word alone, since the model adds
+    a space before it. Texts with joined spaces, a space at either end, or the model's own space sign are encoded whole;
+    so are all texts for any other model.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(self.model.serialized_model_proto())
+        kept, trained = proto.normalizer_spec, proto.trainer_spec
+        # Piece types 1 (normal), 2 (unknown), 3 (control) and 6 (byte) only: user-defined pieces are matched first.
+        self.cuts = (trained.model_type == trained.BPE and not trained.treat_whitespace_as_suffix and kept.add_dummy_prefix
+                     and kept.escape_whitespaces and not kept.remove_extra_whitespaces and not kept.precompiled_charsmap
+                     and not any(p.type not in (1, 2, 3, 6) or "▁" in p.piece.lstrip("▁") for p in proto.pieces))
+        self.cache = PieceCache(self.encode, self.encode, KEPT_PIECES)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat_lists(self.model.encode(texts, num_threads=1))
+
+    def indices(self, texts: pa.Array, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+        """For ``encode_texts``: the words of each text, or the text itself if it can't be cut."""
+        whole = pc.match_substring_regex(texts, "  |^ | $|▁").to_numpy(zero_copy_only=False) | (not self.cuts)
+        codes, offsets, words = parts_of(pc.split_pattern(texts, " "))
+        counts = np.diff(offsets)
+        used = np.zeros(len(words), bool)
+        used[codes[np.repeat(~whole, counts)]] = True
+        used, place = np.flatnonzero(used), np.zeros(len(words), np.int64)
+        place[used] = cache.indices(words.take(pa.array(used)).to_pylist(), np.zeros(len(used), bool))
+        out = place[codes]
+        out[np.repeat(whole, counts)] = 0
+        if whole.any():
+            long = texts.filter(pa.array(whole)).dictionary_encode()
+            out[offsets[:-1][whole]] = cache.indices(long.dictionary.to_pylist(), np.zeros(len(long.dictionary), bool))[
+                long.indices.to_numpy(zero_copy_only=False)]
+        return out, offsets
+
+
 _loaded: dict[tuple[str, str], tuple] = {}
 
 
 def _tools(a_path: str, b_path: str):
     """Both tokenizers and the flat vocabularies, once per worker process."""
     if (a_path, b_path) not in _loaded:
-        import os
-
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        a = Tokenizer.from_file(a_path)
-        a.encode_special_tokens = True
-        b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        without_threads()
         vocab = read_vocabularies(a_path, b_path)
-        _loaded[a_path, b_path] = (a, b, vocab, _Flat(vocab.a_bytes), _Flat(vocab.b_bytes))
+        flat = _Flat(vocab.a_bytes), _Flat(vocab.b_bytes)
+        words = WordPieces(b_path)
+        _loaded[a_path, b_path] = (tokenizer_pieces(a_path, "byte", KEPT_PIECES), (words.cache, words), vocab, *flat)
     return _loaded[a_path, b_path]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(x) for x in lists], np.int64)
-    ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
-    return ids, np.concatenate(([0], np.cumsum(counts)))
-
-
 def _per_doc(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype(np.int64) if values is None else \
         np.bincount(owner, weights=values, minlength=n).astype(np.int64)
 
 
-def align_slice(texts: list[str], a_tok, b_tok, vocab: Vocabularies, flat_a: _Flat, flat_b: _Flat) -> dict:
+def align_slice(texts: pa.Array, a_tok, b_tok, vocab: Vocabularies, flat_a: _Flat, flat_b: _Flat) -> dict:
     """Groups and links of a slice of texts (no nulls); see the module docstring."""
     n = len(texts)
-    a_ids, a_off = _flat([e.ids for e in a_tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
-    b_ids, b_off = _flat(b_tok.encode(texts, num_threads=1))
-    target = [(" " + t).encode() for t in texts]
-    sizes = np.array([len(t) for t in target], np.int64)
-    a_doc = np.repeat(np.arange(n), np.diff(a_off))
-    b_doc = np.repeat(np.arange(n), np.diff(b_off))
+    spaced = pc.binary_join_element_wise(" ", texts, "")
+    (a_ids, a_counts), (b_ids, b_counts) = encode_texts(spaced, *a_tok), encode_texts(texts, *b_tok)
+    a_ids, b_ids = a_ids.astype(np.int64), b_ids.astype(np.int64)
+    sizes = pc.binary_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
+    a_doc = np.repeat(np.arange(n), a_counts)
+    b_doc = np.repeat(np.arange(n), b_counts)
     a_len, b_len = flat_a.lengths[a_ids], flat_b.lengths[b_ids]
-    good = (np.array([len(t) > 0 for t in texts]) & (_per_doc(a_len, a_doc, n) == sizes)
+    good = ((sizes > 1) & (_per_doc(a_len, a_doc, n) == sizes)
             & (_per_doc(b_len, b_doc, n) == sizes))
     if good.any():
         # Equal totals; now the bytes themselves, over the whole slice at once.
-        data = np.frombuffer(b"".join(target), np.uint8)
+        data = np.frombuffer(spaced.buffers()[2], np.uint8, int(sizes.sum()))
         byte_doc = np.repeat(np.arange(n), sizes)
         keep_a, keep_b, keep_byte = good[a_doc], good[b_doc], good[byte_doc]
         want = data[keep_byte]
@@ -247,9 +280,8 @@ def first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                texts = pc.fill_null(part.column(1), "").to_pylist()
-                n = len(texts)
-                found = align_slice(texts, a_tok, b_tok, vocab, flat_a, flat_b)
+                n = part.num_rows
+                found = align_slice(as_text(part.column(1)), a_tok, b_tok, vocab, flat_a, flat_b)
                 keys = np.arange(key, key + n, dtype=np.int64)
                 key += n
                 ident_a, ident_doc = found["ident"]

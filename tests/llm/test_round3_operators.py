@@ -94,6 +94,25 @@ def test_alignment_awkward_rows(spark):
     assert token_alignment.align(docs.limit(0), _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model")).count() == 0
 
 
+def test_alignment_encodes_each_distinct_word_once():
+    import pyarrow as pa
+
+    from pairsight.llm.pieces import encode_texts
+
+    words = token_alignment.WordPieces(_vocab("piece_bpe_32k.model"))
+    assert words.cuts
+    draw = random.Random(1)
+    alphabet = list(" \n\t  aabé中▁\u3000\xa0.,'1🙂\u0301") + ["</s>", "<0x41>"]
+    texts = [t or "" for _, t in AWKWARD] + ["".join(draw.choice(alphabet) for _ in range(draw.randrange(60))) for _ in range(800)]
+    ids, counts = encode_texts(pa.array(texts), words.cache, words)
+    want = words.model.encode(texts)
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    asked, encode = [], words.encode
+    words.cache.letters = words.cache.others = lambda pieces: asked.extend(pieces) or encode(pieces)
+    encode_texts(pa.array([prose(4, 300).replace("\n", " ").replace("  ", " ").strip(), "some new ones"] * 5), words.cache, words)
+    assert len(asked) == len(set(asked)) and {"some", "new"} <= set(asked)
+
+
 def _byte_level_alphabet() -> dict[str, int]:
     """Printable stand-in character -> byte, the byte-level BPE convention, written out for the test."""
     kept = list(range(ord("!"), ord("~") + 1)) + list(range(ord("¡"), ord("¬") + 1)) + list(range(ord("®"), ord("ÿ") + 1))
