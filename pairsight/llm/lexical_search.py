@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairsight.llm.arrow_text import as_text, slices
 from pairsight.plans.shared import write_once
 
 # What a term is, and the constants of the score.
@@ -80,38 +81,113 @@ def _sized(frame: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= limit else frame
 
 
+# Bytes of terms, A-Z lower-cased, and 0 for the others: a term is a maximal run of ASCII letters and digits and of the
+# bytes of non-ASCII characters.
+_FOLD = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 0 for b in range(256)], np.uint8)
+
+
+def split_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms (as bytes) of all texts (no nulls), one after the other, and each text's number of terms."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    if offsets[-1] == offsets[0]:
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    data = _FOLD[np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]]
+    offsets = offsets - offsets[0]
+    inside = data != 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    opens[heads] = inside[heads]                                  # a term ends with its text
+    before = np.concatenate(([0], np.cumsum(opens)))
+    kept = data[inside]
+    starts = np.append(np.flatnonzero(opens[inside]), len(kept)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(kept)])
+    return found, np.diff(before[offsets])
+
+
+def term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(doc_id, n, tids, tfs): each row's number of terms, its query terms (places in ``vocabulary``, ascending) and their
+    occurrences."""
+    shared = docs.sparkSession.sparkContext.broadcast([t.encode() for t in vocabulary])
+
+    def run(batches):
+        known = pa.array(shared.value, pa.binary())
+        width = max(len(known), 1)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found, n = split_terms(as_text(part.column(1)))
+                owner = np.repeat(np.arange(part.num_rows), n)
+                tids = pc.fill_null(pc.index_in(found, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                keys, tfs = np.unique((owner * width + tids)[tids >= 0], return_counts=True)
+                ends = np.searchsorted(keys, np.arange(part.num_rows + 1) * width).astype(np.int32)
+                lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()),
+                                                  "tids": lists(keys % width, pa.int32()), "tfs": lists(tfs, pa.int64())})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n long, tids array<int>, tfs array<long>")
+
+
+def _pooled(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, n, tids, tfs) of each document (n null for a null id); only rows that repeat a doc_id are shuffled."""
+    several = sizes.where("rows > 1")
+    if not several.limit(1).count():
+        return rows
+    repeated = _sized(several.select(F.col("doc_id").alias("_twice")), MAX_QUERY_TERMS)
+    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    entries = rows.join(repeated, same, "left_semi").select("doc_id", F.explode(F.arrays_zip("tids", "tfs")).alias("e"))
+    summed = entries.groupBy("doc_id", F.col("e.tids").alias("tids")).agg(F.sum("e.tfs").alias("tfs"))
+    lists = summed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tids", "tfs"))).alias("e"))
+    pooled = lists.join(several.select("doc_id", "n"), "doc_id", "left").select(
+        "doc_id", "n", F.col("e.tids").alias("tids"), F.col("e.tfs").alias("tfs"))
+    return rows.join(repeated, same, "left_anti").unionByName(pooled)
+
+
 def forward_index(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
     """(doc_id, edge, tids, impacts): each document's query terms (ids in the sorted query vocabulary, ascending)
-    and their impacts, longest vectors first."""
+    and their impacts, longest vectors first. The texts are split once, in one pass that keeps query terms only."""
     spark = docs.sparkSession
-    terms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms_of(F.col("text")).alias("terms"))
-    sizes = terms.groupBy("doc_id").agg(F.sum(F.size("terms")).cast("long").alias("n"))
+    none = spark.createDataFrame([], "doc_id long, edge double, tids array<int>, impacts array<long>")
+    wanted = query_terms.select("term").distinct()
+    if wanted.count() > MAX_QUERY_TERMS:
+        raise ValueError(f"more than {MAX_QUERY_TERMS} distinct query terms")
+    vocabulary = sorted(r["term"] for r in wanted.collect())      # bounded: at most MAX_QUERY_TERMS
+    counted = write_once(term_counts(docs, vocabulary), "search-terms")
+    sizes = counted.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
     totals = sizes.agg(F.count_if(F.col("n") > 0).alias("N"), F.sum("n").alias("L")).first()
     n_docs, n_terms = int(totals["N"] or 0), int(totals["L"] or 0)
     if n_docs == 0:
-        return spark.createDataFrame([], "doc_id long, edge double, tids array<int>, impacts array<long>")
-    vocabulary = _sized(query_terms.select("term").distinct(), MAX_QUERY_TERMS)
-    if vocabulary.count() > MAX_QUERY_TERMS:
-        raise ValueError(f"more than {MAX_QUERY_TERMS} distinct query terms")
-    counted = (terms.select("doc_id", F.explode("terms").alias("term")).join(vocabulary, "term")
-               .groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+        return none
+    documents = _pooled(counted, sizes)
+    df = documents.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count("*").alias("df"))
     weight = F.floor(F.lit(float(WEIGHT_SCALE)) * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0)))
+    weights = np.zeros(max(len(vocabulary), 1), np.int64)
+    for row in df.select("tid", weight.cast("long").alias("w")).collect():      # at most the query vocabulary
+        weights[row["tid"]] = row["w"]
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches):
+        w = shared.value
+        for batch in batches:
+            m = batch.column(1).to_numpy(zero_copy_only=False)
+            tids = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            tfs = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            counts = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            impacts = w[tids] * (TF_SCALE * tfs // (TF_BASE * tfs + K1 * np.repeat(m, counts)))
+            norm = np.sqrt(np.add.reduceat(impacts.astype(float) ** 2, np.cumsum(counts) - counts)) if len(counts) else np.zeros(0)
+            band = np.where(norm > 0, np.floor(np.log2(np.where(norm > 0, norm, 1.0)) * BANDS_PER_OCTAVE), -(1 << 20))
+            # Upper edge of the bucket, raised by a relative 1e-9 against rounding of the computed length.
+            edge = 2.0 ** ((band + 1) / BANDS_PER_OCTAVE) * (1.0 + 1e-9)
+            ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0), "edge": pa.array(edge, pa.float64()),
+                "tids": pa.ListArray.from_arrays(ends, pa.array(tids, pa.int32())),
+                "impacts": pa.ListArray.from_arrays(ends, pa.array(impacts, pa.int64()))})
+
     # 90 * n * N may pass 64 bits on a large corpus; the division is done on 38-digit decimals.
     m = F.lit(LENGTH_BASE) + F.expr(f"CAST(CAST({LENGTH_SLOPE} AS DECIMAL(38, 0)) * n * {n_docs} DIV {n_terms} AS BIGINT)")
-    impact = (F.col("w") * F.expr(f"({TF_SCALE} * tf) DIV ({TF_BASE} * tf + {K1} * m)")).cast("long")
-    scored = (counted.join(F.broadcast(df.select("term", weight.cast("long").alias("w"))), "term")
-              .join(sizes, "doc_id").withColumn("m", m).select("doc_id", "term", impact.alias("impact")))
-    ids = spark.createDataFrame(list(enumerate(sorted(r["term"] for r in query_terms.select("term").distinct().collect()))),
-                                "tid int, term string")   # bounded: the query vocabulary, at most MAX_QUERY_TERMS
-    forward = (scored.join(F.broadcast(ids), "term").groupBy("doc_id")
-               .agg(F.array_sort(F.collect_list(F.struct("tid", "impact"))).alias("entries")))
-    norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda acc, e: acc + e["impact"].cast("double") ** 2))
-    band = F.when(norm > 0, F.floor(F.log2(norm) * BANDS_PER_OCTAVE)).otherwise(F.lit(-(1 << 20)))
-    # Upper edge of the bucket, raised by a relative 1e-9 against rounding of the computed length.
-    edge = F.pow(F.lit(2.0), (band + 1) / BANDS_PER_OCTAVE) * (1.0 + 1e-9)
-    rows = forward.select("doc_id", edge.alias("edge"), F.col("entries.tid").alias("tids"),
-                          F.col("entries.impact").alias("impacts"))
+    held = documents.where(F.col("doc_id").isNotNull() & (F.size("tids") > 0))
+    rows = held.select("doc_id", m.alias("m"), "tids", "tfs").mapInArrow(run, "doc_id long, edge double, tids array<int>, impacts array<long>")
     return write_once(rows.sortWithinPartitions(F.desc("edge")), "search-forward")
 
 

@@ -4,9 +4,11 @@ rows, other columns with clashing names, empty tables."""
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 
-from llm.cases import AWKWARD, documents, prose
+from llm.cases import AWKWARD, documents, lower, prose
 
 from pairsight.llm import fingerprints, lexical_search, token_alignment
 
@@ -32,6 +34,43 @@ def test_search_awkward_rows_against_brute_force(spark):
     assert empty.ranked.count() == 0
 
 
+def test_search_splits_texts_once(spark, monkeypatch):
+    """The documents' terms come from one pass of byte operations, equal to the pattern's; repeated ids are pooled."""
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("aZ09_ /:@[`{\x7f~é中\n\x00.-") for _ in range(draw.randrange(40))) for _ in range(500)]
+    texts += ["", "a", "", "b"] + [t or "" for _, t in AWKWARD]
+    for column, want in ((pa.array(texts), texts), (pa.array(texts).slice(7, 90), texts[7:97]), (pa.array([], pa.string()), [])):
+        found, n = lexical_search.split_terms(column)
+        terms = [re.findall(lexical_search.TERM, lower(t)) for t in want]
+        assert [t.decode() for t in found.to_pylist()] == [t for ts in terms for t in ts]
+        assert n.tolist() == [len(ts) for ts in terms]
+    rows = list(enumerate(texts)) + [(3, "a b a"), (3, None), (3, "b Z09"), (None, "a a"), (None, "b")]
+    pooled = {}
+    for doc_id, text in rows:
+        pooled.setdefault(doc_id, []).extend(re.findall(lexical_search.TERM, lower(text)))
+    held = [ts for ts in pooled.values() if ts]
+    total = sum(len(ts) for ts in held)
+    items = {0: ["a", "b"], 1: ["z09", "text", "here"], 2: ["中"]}
+    want = []
+    for item, terms in items.items():
+        scores = []
+        for doc_id, ts in pooled.items():
+            m = 10 + 90 * len(ts) * len(held) // total
+            score = sum(int(1000 * math.log((2 * len(held) + 2) / (2 * sum(t in h for h in held) + 1)))
+                        * (10 ** 9 * ts.count(t) // (1000 * ts.count(t) + 8 * m)) for t in terms if t in ts)
+            if score > 0 and doc_id is not None:
+                scores.append((-score, doc_id))
+        want += [(item, rank, doc_id, -score) for rank, (score, doc_id) in enumerate(sorted(scores)[:10], 1)]
+    items = spark.createDataFrame([(i, " ".join(ts)) for i, ts in items.items()], "item_id long, text string")
+    split, regex = [], lexical_search.terms_of
+    monkeypatch.setattr(lexical_search, "terms_of", lambda text: split.append(text) or regex(text))
+    found = lexical_search.search(documents(spark, rows, 4), items, lexical_search.SearchSettings(seed_docs=20))
+    assert sorted(tuple(r) for r in found.ranked.collect()) == sorted(want)
+    assert len(split) == 1                                    # the items only; the documents' texts were split this way too
+
+
 def test_fingerprints_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     rows = fingerprints.fingerprint_table(docs).collect()
