@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairsight.llm.arrow_text import as_text, slices
+from pairsight.llm.arrow_text import as_text, ragged, slices
 from pairsight.plans.shared import write_once
 
 # What a term is, and the constants of the score.
@@ -49,6 +49,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WEIGHT_SCALE, TF_SCALE, TF_BASE, K1, LENGTH_BASE, LENGTH_SLOPE = 1000, 1_000_000_000, 1000, 8, 10, 90
 
 BANDS_PER_OCTAVE = 4       # a band covers a factor of 2 ** (1 / 4) of vector length
+MEETINGS = 500_000         # (document, term, item) triples of one step of numpy work; it bounds a scoring task's memory
 MAX_QUERY_TERMS = 5_000_000  # distinct (item, term) rows broadcast at most; beyond, the join shuffles
 
 
@@ -203,53 +204,93 @@ def _item_lists(items: DataFrame, forward_ids: DataFrame) -> dict[int, np.ndarra
     return {r["item_id"]: np.array(r["t"], np.int64) for r in rows.collect()}
 
 
-def _scorer(spark, lists: dict[int, np.ndarray]):
+def _cuts(load: np.ndarray, limit: int):
+    """Runs of consecutive rows with a summed load of at most ``limit``, one row at least."""
+    ends, first = np.cumsum(load), 0
+    while first < len(load):
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right")))
+        yield first, stop
+        first = stop
+
+
+def _scorer(spark, lists: dict[int, np.ndarray], k: int | None = None):
     """mapInArrow function: (doc_id, tids, impacts, items) -> (item_id, doc_id, score) for score > 0.
 
-    ``items`` null means every item. A document's (tid, impact) pairs are sorted by tid, so an item's terms are
-    found by one binary search each over the slice's keys doc * V + tid.
+    ``items`` null means every item: each entry of a document meets the items that hold its term. Otherwise a document's
+    (tid, impact) pairs, sorted by tid, are probed for the terms of its items by one binary search each over the keys
+    doc * V + tid. Documents are taken in runs of about ``MEETINGS`` meetings or probes, so a task's memory does not
+    depend on how many items share a term with how many documents. With ``k``, only the k best documents of each item
+    in a run leave the task.
     """
     shared = spark.sparkContext.broadcast(lists)
 
+    def best(item, doc, score):
+        order = np.lexsort((doc, -score, item))
+        item, doc, score = item[order], doc[order], score[order]
+        heads = np.flatnonzero(np.append(True, item[1:] != item[:-1])) if len(item) else np.zeros(0, np.int64)
+        rank = np.arange(len(item)) - np.repeat(heads, np.diff(np.append(heads, len(item))))
+        return item[rank < k], doc[rank < k], score[rank < k]
+
     def run(batches):
         lists = shared.value
         every = np.array(sorted(lists), np.int64)
-        by_term: dict[int, list[int]] = {}
-        for item, terms in lists.items():
-            for t in terms.tolist():
-                by_term.setdefault(t, []).append(item)
-        width = 1 + max((int(t.max()) for t in lists.values() if len(t)), default=0)
-        for batch in batches:
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            tids, impacts = batch.column(1), batch.column(2)
-            counts = pc.list_value_length(tids).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), counts)
-            keys = owner * width + tids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = impacts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            wanted = batch.column(3)
-            pair_doc, pair_item = [], []
-            for row in range(batch.num_rows):
-                chosen = wanted[row]
-                if chosen.is_valid:
-                    items = np.array(chosen.as_py(), np.int64)
-                else:   # every item that shares a term with the document
-                    found = {i for t in tids[row].as_py() for i in by_term.get(t, ())}
-                    items = np.array(sorted(found), np.int64) if found else every[:0]
-                pair_doc.append(np.full(len(items), row, np.int64))
-                pair_item.append(items)
-            pair_doc = np.concatenate(pair_doc) if pair_doc else np.zeros(0, np.int64)
-            pair_item = np.concatenate(pair_item) if pair_item else np.zeros(0, np.int64)
-            sizes = np.array([len(lists.get(i, ())) for i in pair_item.tolist()], np.int64)
-            terms = np.concatenate([lists.get(i, every[:0]) for i in pair_item.tolist()]) if len(pair_item) else every[:0]
-            which = np.repeat(np.arange(len(pair_item)), sizes)
-            probe = pair_doc[which] * width + terms
+        sizes = np.array([len(lists[i]) for i in every.tolist()], np.int64)
+        terms = np.concatenate([lists[i] for i in every.tolist()]) if len(every) else every
+        begins = np.cumsum(sizes) - sizes
+        width = 1 + int(terms.max()) if len(terms) else 1
+        holders = np.repeat(np.arange(len(every)), sizes)[np.argsort(terms, kind="stable")]     # by term
+        held = np.bincount(terms, minlength=width)
+        heads = np.cumsum(held) - held
+
+        def meetings(owner, tids, values):
+            times = held[tids]
+            keys = np.repeat(owner, times) * len(every) + holders[ragged(heads[tids], times)]
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], np.repeat(values, times)[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            return keys[first] // len(every), keys[first] % len(every), np.add.reduceat(values, first) if len(first) else values
+
+        def probes(owner, tids, values, pair_doc, pair_item):
+            keys = owner * width + tids
+            which = np.repeat(np.arange(len(pair_item)), sizes[pair_item])
+            probe = pair_doc[which] * width + terms[ragged(begins[pair_item], sizes[pair_item])]
             at = np.minimum(np.searchsorted(keys, probe), max(len(keys) - 1, 0))
             hit = (keys[at] == probe) if len(keys) else np.zeros(len(probe), bool)
             score = np.zeros(len(pair_item), np.int64)
             np.add.at(score, which[hit], values[at[hit]])
-            good = score > 0
-            yield pa.RecordBatch.from_pydict({"item_id": pa.array(pair_item[good]), "doc_id": pa.array(doc_ids[pair_doc[good]]),
-                                              "score": pa.array(score[good])})
+            return pair_doc, pair_item, score
+
+        for batch in batches if len(every) else ():
+            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), counts)
+            tids = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            known = tids < width
+            owner, tids, values = owner[known], tids[known], values[known]
+            chosen = batch.column(3)
+            n_chosen = pc.fill_null(pc.list_value_length(chosen), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            whole = chosen.is_null().to_numpy(zero_copy_only=False)
+            pair_doc = np.repeat(np.arange(batch.num_rows, dtype=np.int64), n_chosen)
+            pair_item = chosen.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.minimum(np.searchsorted(every, pair_item), len(every) - 1)
+            found = every[place] == pair_item
+            pair_doc, pair_item = pair_doc[found], place[found]
+            met = np.bincount(owner, np.where(whole[owner], held[tids], 0), batch.num_rows)
+            load = met + np.bincount(pair_doc, sizes[pair_item], batch.num_rows)
+            for first, stop in _cuts(load, MEETINGS):
+                a, b = np.searchsorted(owner, (first, stop))
+                c, d = np.searchsorted(pair_doc, (first, stop))
+                all_items = whole[owner[a:b]]
+                parts = (meetings(owner[a:b][all_items], tids[a:b][all_items], values[a:b][all_items]),
+                         probes(owner[a:b], tids[a:b], values[a:b], pair_doc[c:d], pair_item[c:d]))
+                row, item, score = (np.concatenate(x) for x in zip(*parts))
+                good = score > 0
+                item, doc, score = every[item[good]], doc_ids[row[good]], score[good]
+                if k is not None:
+                    item, doc, score = best(item, doc, score)
+                yield pa.RecordBatch.from_pydict({"item_id": pa.array(item, pa.int64()), "doc_id": pa.array(doc, pa.int64()),
+                                                  "score": pa.array(score, pa.int64())})
     return run
 
 
@@ -281,7 +322,7 @@ def search(docs: DataFrame, items: DataFrame, settings: SearchSettings = SearchS
     ids = spark.createDataFrame(list(enumerate(sorted(r["term"] for r in wanted.select("term").distinct().collect()))),
                                 "tid int, term string")
     lists = _item_lists(wanted, ids)
-    run = _scorer(spark, lists)
+    run, top = _scorer(spark, lists), _scorer(spark, lists, settings.k)
     queries = _sized(wanted.join(F.broadcast(ids), "term").select("item_id", "tid"), MAX_QUERY_TERMS)
     norms = spark.createDataFrame([(i, float(np.sqrt(len(t)))) for i, t in lists.items()], "item_id long, q_norm double")
     # Buckets by length, longest first; a document lies in one, so their counts add up. There are at most a few
@@ -293,7 +334,7 @@ def search(docs: DataFrame, items: DataFrame, settings: SearchSettings = SearchS
         seed_edge, taken = bucket["edge"], taken + bucket["count"]
     # 1. The first buckets, exactly, for every query that shares a term with them.
     seed = forward.where(F.col("edge") >= seed_edge)
-    first = write_once(_best(_exact(seed, None, run, settings.max_broadcast), settings.k), "search-seed")
+    first = write_once(_best(_exact(seed, None, top, settings.max_broadcast), settings.k), "search-seed")
     theta = (first.groupBy("item_id").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
              .select("item_id", F.when(F.col("found") >= settings.k, F.col("kth")).otherwise(F.lit(1)).alias("theta")))
     limits = norms.join(theta, "item_id", "left").select("item_id", "q_norm", F.coalesce("theta", F.lit(1)).alias("theta"))
@@ -312,7 +353,7 @@ def search(docs: DataFrame, items: DataFrame, settings: SearchSettings = SearchS
     candidates = write_once(entries.join(_sized(essential, settings.max_broadcast), ["edge", "tid"])
                             .select("item_id", "doc_id").distinct(), "search-candidates")
     # 3. Exact rescoring of the candidates, together with the first buckets' best.
-    second = _exact(rest, candidates, run, settings.max_broadcast)
+    second = _exact(rest, candidates, top, settings.max_broadcast)
     ranked = _best(first.select("item_id", "doc_id", "score").unionByName(second), settings.k)
     everything = _exact(forward, None, run, settings.max_broadcast).select("item_id", "doc_id")
     seeded = _exact(seed, None, run, settings.max_broadcast).select("item_id", "doc_id")

@@ -71,6 +71,46 @@ def test_search_splits_texts_once(spark, monkeypatch):
     assert len(split) == 1                                    # the items only; the documents' texts were split this way too
 
 
+def test_search_scores_common_terms_in_bounded_memory(spark):
+    """Documents and items that all share terms: a task holds a bounded run of them, and only the best leave it."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    n_docs, n_items, terms = 2000, 300, np.arange(24)
+    impacts = draw.integers(1, 50, (n_docs, len(terms)))
+    lists = {7 * i: np.sort(draw.choice(len(terms), 12, replace=False)) for i in range(n_items)}
+    full = np.stack([impacts[:, t].sum(axis=1) for t in lists.values()])
+    best = [(7 * i, d, full[i, d]) for i in range(n_items) for d in np.lexsort((np.arange(n_docs), -full[i]))[:3]]
+    for chosen in (None, sorted(lists)):
+        batch = pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(np.arange(n_docs)), "tids": pa.array([terms.tolist()] * n_docs, pa.list_(pa.int32())),
+            "impacts": pa.array(impacts.tolist(), pa.list_(pa.int64())), "items": pa.array([chosen] * n_docs, pa.list_(pa.int64()))})
+        for k in (None, 3):
+            run = lexical_search._scorer(spark, lists, *([k] if k else []))
+            found, sizes = [], []
+            tracemalloc.start()
+            for out in run(iter([batch])):
+                sizes.append(out.num_rows)
+                found.append(out)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < 100 << 20
+            rows = pa.Table.from_batches(found).to_pydict()
+            scores = sorted(zip(rows["item_id"], (-s for s in rows["score"]), rows["doc_id"]))
+            if k is None:
+                assert len(scores) == n_docs * n_items and max(sizes) < n_docs * n_items / 4
+                assert all(full[i // 7, d] == -s for i, s, d in scores[::997])
+            else:
+                assert max(sizes) <= k * n_items
+                firsts = {}
+                for i, s, d in scores:
+                    firsts.setdefault(i, []).append((i, d, -s))
+                assert [r for i in sorted(firsts) for r in firsts[i][:3]] == best
+
+
 def test_fingerprints_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     rows = fingerprints.fingerprint_table(docs).collect()
