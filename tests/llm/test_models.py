@@ -265,3 +265,32 @@ def test_buckets_of_rare_words_are_bounded_whatever_the_partitions(spark, monkey
     n, packed = asked[0]
     each = packed.groupBy("kind").agg(F.sum(F.length("words") / 8).alias("n")).agg(F.max("n")).first()[0]
     assert n == 60 * 400 // 200 and each < 400
+
+
+def test_training_moves_all_weights_as_one_vector():
+    """The same weights as Adam written out weight by weight; row maxima by halves are the maxima."""
+    M = attention_model
+    draw = np.random.default_rng(8)
+    for n in (1, 2, 7, 32, 55):
+        x = draw.normal(size=(3, 4, n)).astype(np.float32)
+        assert (M.highest(x) == x.max(axis=-1, keepdims=True)).all()
+    shape = (10, M.SPAN)
+    windows = (draw.integers(0, M.CLASSES, shape), draw.integers(0, 27, shape), draw.integers(-1, M.CLASSES, shape), draw.integers(0, 9, shape))
+    priors = draw.normal(size=(9, M.CLASSES)).astype(np.float32)
+    start = M.initial(size=9)
+    before = {n: v.copy() for n, v in start.items()}
+    got = M.train(start, windows, priors, 6, batch=10)
+    assert all((before[n] == start[n]).all() and got[n].flags.owndata and got[n].dtype == np.float32 for n in start)
+    p = {n: v.astype(float) for n, v in before.items()}
+    m, s = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+    order = np.random.default_rng(1)
+    for t in range(1, 7):
+        pick = order.permutation(10)
+        now = M.step(p, *(w[pick] for w in windows[:3]), priors[windows[3][pick]], windows[3][pick])
+        slope = {**now.gradients, "id_in": now.row_gradients}
+        for n, g in slope.items():
+            at = now.rows if n == "id_in" else slice(None)
+            m[n][at] = 0.9 * m[n][at] + 0.1 * g
+            s[n][at] = 0.98 * s[n][at] + 0.02 * g * g
+            p[n][at] -= 0.01 * min(1.0, 2 * (1 - t / 7)) * (m[n][at] / (1 - 0.9 ** t)) / (np.sqrt(s[n][at] / (1 - 0.98 ** t)) + 1e-7)
+    assert all(np.allclose(got[n], p[n], rtol=0, atol=2e-4) for n in p)
