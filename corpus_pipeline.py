@@ -13,6 +13,10 @@ from pairsight.llm import near_dup, packing, quality, queries, toxicity
 from pairsight.plans.shared import write_once
 
 
+# Pieces of text whose ids a packing worker keeps: about 170 bytes each, in every worker of an executor.
+KEPT_PIECES = 400_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition rules."""
     return quality.keep_good(docs)
@@ -31,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: one row per piece, with its ids as little-endian 32-bit integers."""
-    return packing.pack_documents(docs, queries.vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, queries.vocabulary("byte_bpe_50k.json"), kept_pieces=KEPT_PIECES)
 
 
 STAGES = [

@@ -6,7 +6,8 @@ Arrow string arrays, read null as the empty text, and return numpy arrays with d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 # Text of one step of numpy work. It bounds a task's memory; a longer document is a slice of its own.
 SLICE_BYTES = 2 << 20
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def as_text(column: pa.Array) -> pa.Array:
     """The column as strings; null becomes the empty text."""
@@ -36,6 +39,31 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system. Arrow and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Task) -> Task:
+    """The task, made to give back freed memory after each batch and at its end: a worker process outlives its tasks, and an
+    executor's memory holds what all its workers keep."""
+
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batch_by_batch(batches))
+        give_back()
+
+    return task
+
+
 @dataclass
 class Words:
     """Words of a slice: ``vocab[codes]`` in order; document i has codes[offsets[i]:offsets[i + 1]]."""

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.arrow_text import as_text, binary_rows, mix64, ragged, slices, split_words, word_hashes
+from pairsight.llm.arrow_text import as_text, binary_rows, lean, mix64, ragged, slices, split_words, word_hashes
 from pairsight.llm.components import components
 from pairsight.plans.shared import write_once
 
@@ -90,6 +90,13 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value[fresh], np.bincount(documents[fresh], minlength=len(counts))
 
 
+def sliced_sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingle_sets` of a table's texts, made slice by slice: making a set takes about ten times what it holds."""
+    made = [shingle_sets(as_text(part.column("text")), n) for batch in table.to_batches() for part in slices(batch, "text")]
+    values, counts = zip(*made) if made else ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])
+    return np.concatenate(values), np.concatenate(counts)
+
+
 def minima_of(values: np.ndarray, counts: np.ndarray, number: int) -> np.ndarray:
     """``number`` minwise values of each non-empty set, as rows of 32-bit integers (zeros for an empty one)."""
     out = np.zeros((len(counts), number), np.uint32)
@@ -131,7 +138,7 @@ def sketch(docs: DataFrame, settings: NearDupSettings) -> DataFrame:
                     "minima": binary_rows(minima.ravel(), np.full(len(counts), settings.minima)),
                     "bits": binary_rows(low_bits(minima).ravel(), np.full(len(counts), settings.minima // 2))})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, minima binary, bits binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, k1 long, k2 long, minima binary, bits binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -158,9 +165,9 @@ def alike(values: np.ndarray, groups: np.ndarray, least: int) -> Iterator[np.nda
     for i in range(size - 1):
         near[i, i + 1:] = ((values[i + 1:] == values[i]).sum(axis=1) >= least) & (groups[i + 1:] != groups[i])
     near |= near.T
-    label = np.arange(size)
+    label = np.arange(size, dtype=np.int32)
     while True:
-        lower = np.minimum(label, np.where(near, label[None, :], size).min(axis=1))
+        lower = np.minimum(label, np.where(near, label[None, :], np.int32(size)).min(axis=1))
         lower = np.minimum(lower, lower[lower])
         if (lower == label).all():
             break
@@ -196,7 +203,7 @@ def likely_clusters(cells: DataFrame, settings: NearDupSettings) -> DataFrame:
                 "groups": pa.array([groups[m] for m in found], pa.list_(pa.int64()))})
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "cluster long, docs array<long>, groups array<long>")
+    return dealt.mapInArrow(lean(run), "cluster long, docs array<long>, groups array<long>")
 
 
 def confirm(values: np.ndarray, counts: np.ndarray, docs: np.ndarray, groups: np.ndarray, percent: int,
@@ -236,14 +243,14 @@ def confirmed_links(clusters: DataFrame, docs: DataFrame, settings: NearDupSetti
             bounds = np.append(first, len(table)) if first[-1] != len(table) else first
             ids, groups = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
             links = []
-            values, counts = shingle_sets(as_text(pa.concat_arrays(table.column("text").chunks)), settings.words)
+            values, counts = sliced_sets(table, settings.words)
             ends = np.append(0, np.cumsum(counts))
             for a, b in zip(bounds[:-1], bounds[1:]):
                 links += confirm(values[ends[a]:ends[b]], counts[a:b], ids[a:b], groups[a:b], settings.percent)
             columns = list(zip(*links)) or [[], []]
             yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip("ab", columns)})
 
-    return dealt.select("cluster", "doc_id", "component", "text").mapInArrow(run, "a long, b long")
+    return dealt.select("cluster", "doc_id", "component", "text").mapInArrow(lean(run), "a long, b long")
 
 
 # --- The tree, level by level ------------------------------------------------------------------

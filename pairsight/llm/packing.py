@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pairsight.llm.arrow_text import as_text, slices
+from pairsight.llm.arrow_text import as_text, lean, slices
 from pairsight.llm.pieces import append_to_each, encode_texts, tokenizer_pieces, without_threads
 
 SCHEMA = ("start long, length long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary")
@@ -157,17 +157,17 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, path: str, kind: str = "byte", end_id: int | None = 1, limits: Limits = Limits(),
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", kept_pieces: int | None = None) -> DataFrame:
     """One row per piece: document, place in it and in its sequence, and the ids (little-endian, 4 bytes each).
 
     Every token of a plain document bears loss. :class:`Segment` also takes examples that open with an
-    unscored prompt.
+    unscored prompt. ``kept_pieces``: distinct pieces whose ids a worker keeps (by default the cache's own limit).
     """
     narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         without_threads()
-        cache, cut = tokenizer_pieces(path, kind)
+        cache, cut = tokenizer_pieces(path, kind, kept_pieces)
         packer, held, number = Packer(limits), {}, 0
         sequence = TaskContext.get().partitionId() << 40
 
@@ -217,4 +217,4 @@ def pack_documents(docs: DataFrame, path: str, kind: str = "byte", end_id: int |
         if packer.open:
             yield rows(packer.flush(last=True))
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.dtypes[0][1]}, {SCHEMA}")
+    return narrow.mapInArrow(lean(run), f"doc_id {narrow.dtypes[0][1]}, {SCHEMA}")

@@ -233,6 +233,7 @@ def tokenizer_pieces(path: str, kind: str, limit: int | None = None) -> tuple[Pi
             return ids, np.diff(bounds)
 
         _loaded[path, kind] = PieceCache(together, one_by_one, limit), {"word": WordCut, "byte": SpaceCut}[kind]()
+    _loaded[path, kind][0].limit = limit
     return _loaded[path, kind]
 
 

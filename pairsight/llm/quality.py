@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from pairsight.llm.arrow_text import Words, as_text, mix64, parts_of, slices, split_words, sum_by_document
+from pairsight.llm.arrow_text import Words, as_text, lean, mix64, parts_of, slices, split_words, sum_by_document
 
 SYMBOLS = r"[#*$%&|<>]"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +131,7 @@ def repetition_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 found = judge(as_text(part.column("text")), rules)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **found})
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.dtypes[0][1]}, {SCHEMA}")
+    return narrow.mapInArrow(lean(run), f"doc_id {narrow.dtypes[0][1]}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: QualityRules | None = None) -> DataFrame:
@@ -144,4 +144,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: QualityRules | Non
             for part in slices(batch, batch.schema.field(place).name):
                 yield part.filter(judge(as_text(part.column(place)), rules)["kept"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsight.llm.arrow_text import as_text, slices, split_words, word_hashes
+from pairsight.llm.arrow_text import as_text, lean, slices, split_words, word_hashes
 from pairsight.plans.shared import write_once
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -108,7 +108,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "word": pa.array(hashes.view(np.int64)), "p": count(mask), "u": count(~mask)})
 
-    rows = sample.mapInArrow(run, "word long, p long, u long")
+    rows = sample.mapInArrow(lean(run), "word long, p long, u long")
     return rows.groupBy("word").agg(F.sum("p").alias("n_positive"), F.sum("u").alias("n_unlabelled"))
 
 
@@ -124,7 +124,7 @@ def sample_features(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, n
                     "positive": part.column("positive"),
                     "features": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(features, pa.int32()))})
 
-    table = sample.mapInArrow(run, "positive boolean, features array<int>").toArrow()
+    table = sample.mapInArrow(lean(run), "positive boolean, features array<int>").toArrow()
     positive = table.column("positive").to_numpy()
     lists = table.column("features").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
@@ -199,7 +199,7 @@ def score_table(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "score": pa.array(model.scores(as_text(part.column("text"))))})
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.dtypes[0][1]}, score double")
+    return narrow.mapInArrow(lean(run), f"doc_id {narrow.dtypes[0][1]}, score double")
 
 
 def keep_civil(docs: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -211,4 +211,4 @@ def keep_civil(docs: DataFrame, model: ToxicModel, text_col: str = "text", thres
             for part in slices(batch, batch.schema.field(place).name):
                 yield part.filter(pa.array(model.scores(as_text(part.column(place))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
